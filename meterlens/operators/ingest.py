@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meterlens.functions import cells as C
 from meterlens.functions.calendar import with_calendar
 from meterlens.functions.skew import join_null_safe, salted_lookup
-from meterlens.operators.quality import SERIES
+from meterlens.operators.quality import SERIES, typed_cells
 from meterlens.schemas import HOURLY_LONG, conform
 from meterlens.settings import Settings
 
@@ -17,7 +17,11 @@ _QUALITY = ("leading_missing_hours", "active_span_hours", "quality_status", "act
 
 def hourly_long(cells: DataFrame, quality: DataFrame, settings: Settings) -> DataFrame:
     """Typed cells with calendar columns, active-span flag and the statuses of their series."""
-    typed = cells.withColumn("energy_kwh", C.number_or_null(F.col("raw_value")))
+    typed = (
+        typed_cells(cells)
+        .withColumnRenamed("value", "energy_kwh")
+        .drop("raw_value", "kind", "hour_text", "period_year", "period_month")
+    )
     series = quality.select(*SERIES, *_QUALITY)
     position, leading = F.col("row_position"), F.col("leading_missing_hours")
     joined = salted_lookup(typed, series, SERIES, "inner").withColumns(

@@ -22,6 +22,13 @@ RUN_BLOCK = 4096
 
 
 def typed_cells(cells: DataFrame) -> DataFrame:
+    """Add the numeric value and the kind of each cell, once.
+
+    Stored with these columns, later passes read numbers instead of parsing text again, and the
+    zero-run pass filters zeros in the scan.
+    """
+    if {"value", "kind"} <= set(cells.columns):
+        return cells
     return cells.withColumns(
         {"value": C.number_or_null(F.col("raw_value")), "kind": C.value_kind(F.col("raw_value"))}
     )

@@ -86,7 +86,7 @@ class Analysis:
         s, store = self.settings, self.store
         if self.inputs.source_path is not None:
             store.write(source_manifest(self.spark, self.inputs.source_path), "source_manifest")
-        # Positions are attached once; the stored cells feed every pass of this step.
+        # Rows and typed cells are stored first: every later pass scans them column by column.
         rows = with_row_position(time_rows(self.inputs.wide))
         self.rows = store.write(
             rows.select("sheet", "row_position", "period_year", "period_month", "date", "hour", "hour_text", "tariff"),
@@ -94,7 +94,8 @@ class Analysis:
         )
         self.series = store.write(parse_headers(self.inputs.header, s.prosumer_sheet_match), "series")
         self.cells = store.write(
-            melt_sheets(self.inputs.wide, self.inputs.header, s.prosumer_sheet_match), "sheet_cells"
+            quality.typed_cells(melt_sheets(self.inputs.wide, self.inputs.header, s.prosumer_sheet_match)),
+            "sheet_cells",
         )
         self.quality = store.write(quality.series_quality(self.cells, s), "meter_quality")
         checks = store.write(quality.sheet_checks(self.rows, self.series, s), "sheet_checks")

@@ -80,6 +80,17 @@ def _cells(spark, d):
     return melt_sheets(fx.wide_sheets(spark, d), fx.series_header(spark, d), "prosumer")
 
 
+def _stored(spark, df):
+    """A table written once to the scratch folder because several passes read it."""
+    path = f"{scratch_folder(spark)}/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _stored_cells(spark, d):
+    return _stored(spark, quality.typed_cells(_cells(spark, d)))
+
+
 def _rows(spark, d):
     return time_rows(fx.wide_sheets(spark, d)).drop("s1", "s2", "s3")
 
@@ -89,7 +100,7 @@ def _series(spark, d):
 
 
 def _quality(spark, d):
-    return quality.series_quality(_cells(spark, d), fx.SHIFTED)
+    return quality.series_quality(_stored_cells(spark, d), fx.SHIFTED)
 
 
 def _company_hours(spark, d):
@@ -153,8 +164,7 @@ def _outlier_context(spark, d):
     return external.outlier_context(_company_outliers(spark, d), _weather(spark), _calendar(spark), fx.HOURLY)
 
 
-def _heterogeneity(spark, d):
-    hourly = fx.hourly_readings(spark, d)
+def _heterogeneity(hourly):
     return similarity.meter_heterogeneity(
         profiles.basic_metrics(hourly, profiles.METER),
         profiles.hourly_profiles(hourly, profiles.METER),
@@ -230,8 +240,8 @@ def timeline_issues(spark, d):
 
 @query
 def quality_summary(spark, d):
-    cells = _cells(spark, d)
-    found = _quality(spark, d)
+    cells = _stored_cells(spark, d)
+    found = _stored(spark, quality.series_quality(cells, fx.SHIFTED))
     rows = _rows(spark, d)
     return _numeric(
         summaries.quality_summary(
@@ -248,7 +258,8 @@ def _numeric(metrics: DataFrame) -> DataFrame:
 
 
 def _long(spark, d):
-    return ingest.hourly_long(_cells(spark, d), _quality(spark, d), fx.SHIFTED)
+    cells = _stored_cells(spark, d)
+    return ingest.hourly_long(cells, quality.series_quality(cells, fx.SHIFTED), fx.SHIFTED)
 
 
 @query
@@ -268,10 +279,11 @@ def long_summary(spark, d):
 
 @query
 def run_audits(spark, d):
-    cells, found = _cells(spark, d), _quality(spark, d)
-    series, rows = _series(spark, d), _rows(spark, d)
-    long = ingest.hourly_long(cells, found, fx.SHIFTED)
-    calendar, weather = _calendar(spark), _weather(spark)
+    cells = _stored_cells(spark, d)
+    found = _stored(spark, quality.series_quality(cells, fx.SHIFTED))
+    series, rows = _stored(spark, _series(spark, d)), _stored(spark, _rows(spark, d))
+    long = _stored(spark, ingest.hourly_long(cells, found, fx.SHIFTED))
+    calendar, weather = _stored(spark, _calendar(spark)), _stored(spark, _weather(spark))
     enriched = external.enrich_hourly(long, weather, calendar)
     names = lambda values: spark.createDataFrame([(v,) for v in values], "name string")
     return audits.combine(
@@ -346,19 +358,19 @@ def company_hourly_profiles(spark, d):
 
 @query
 def meter_heterogeneity(spark, d):
-    return _heterogeneity(spark, d)
+    return _heterogeneity(fx.hourly_readings(spark, d))
 
 
 @query
 def profile_summary(spark, d):
-    hourly = fx.hourly_readings(spark, d)
-    hours = _company_hours(spark, d)
+    hourly = _stored(spark, fx.hourly_readings(spark, d))
+    hours = profiles.company_hourly(hourly)
     return _numeric(
         summaries.profile_summary(
             profiles.basic_metrics(hourly, profiles.METER),
             profiles.basic_metrics(hours, profiles.COMPANY),
             profiles.monthly_profiles(hours, profiles.COMPANY, fx.HOURLY),
-            _heterogeneity(spark, d),
+            _heterogeneity(hourly),
         )
     )
 
@@ -497,7 +509,8 @@ def enrichment_summary(spark, d):
 
 @query
 def external_summary(spark, d):
-    meter_days, company_days = _meter_daily(spark, d), _company_daily(spark, d)
+    meter_days = _stored(spark, _meter_daily(spark, d))
+    company_days = external.company_daily(meter_days)
     effects = external.holiday_effects(company_days)
     return _numeric(
         summaries.external_summary(
@@ -559,15 +572,16 @@ def natural_order(spark, d):
 
 @query
 def company_card(spark, d):
-    readings = fx.hourly_readings(spark, d)
-    hours = _company_hours(spark, d)
+    readings = _stored(spark, fx.hourly_readings(spark, d))
+    hours = profiles.company_hourly(readings)
     metrics = profiles.company_profile_metrics(
         hours, profiles.basic_metrics(readings, profiles.METER), fx.HOURLY
     )
-    days = _company_daily(spark, d)
+    enriched = external.enrich_hourly(readings.drop("n", "m"), _weather(spark), _calendar(spark))
+    days = _stored(spark, external.company_daily(external.meter_daily(enriched)))
     return dashboard.company_card(
         metrics,
-        _heterogeneity(spark, d),
+        _heterogeneity(readings),
         external.weather_sensitivity(days, ["company_id"], fx.HOURLY),
         external.holiday_summary(external.holiday_effects(days), fx.HOURLY),
     )
@@ -589,7 +603,7 @@ def meter_flows(spark, d):
 @query
 def scaled_features(spark, d):
     """Features under each of the three scalers."""
-    eligible = clusters.eligible_companies(_yearly_company_metrics(spark, d), CLUSTER_FEATURES).persist()
+    eligible = clusters.eligible_companies(_stored_metrics(spark, d), CLUSTER_FEATURES)
     parts = []
     for scaler in clusters.SCALERS:
         scaling = clusters.fit_scaling(eligible, CLUSTER_FEATURES, scaler)
@@ -642,7 +656,7 @@ def cluster_description(spark, d):
 def silhouette_by_region(spark, d):
     """Exact silhouette of the grouping of companies by region under minmax scaling."""
     labelled, _ = _region_centers(spark, d)
-    labelled = labelled.persist()
+    labelled = _stored(spark, labelled)
     scaling = clusters.fit_scaling(labelled, CLUSTER_FEATURES, "minmax")
     points = clusters.scaled_points(labelled, CLUSTER_FEATURES, scaling).join(
         labelled.select("company_id", F.col("region").alias(clusters.label_column(5))), "company_id"
@@ -674,9 +688,7 @@ def pca_2d(spark, d):
 
 def _stored_metrics(spark, d):
     """Company metrics written once, because iterative fits read them many times."""
-    path = f"{scratch_folder(spark)}/company_profile_metrics"
-    _yearly_company_metrics(spark, d).write.parquet(path)
-    return spark.read.parquet(path)
+    return _stored(spark, _yearly_company_metrics(spark, d))
 
 
 # --- publication -----------------------------------------------------------------------------

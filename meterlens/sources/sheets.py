@@ -24,6 +24,47 @@ def read_sheet_csv(spark: SparkSession, path: str, sheet: str, series_columns: S
     return spark.read.schema(schema).csv(path).withColumn("sheet", F.lit(sheet))
 
 
+def read_raw_sheet(spark: SparkSession, path: str, sheet: str) -> tuple[DataFrame, DataFrame]:
+    """One sheet exported whole as a single CSV file: (data rows, header rows as a table).
+
+    The first line names the company and the second the meter of each column from the seventh
+    on. ``row_position`` is the row's place in the file: rows are numbered inside their file
+    block and offset by the rows of earlier blocks, so a large file is still read in parallel.
+    """
+    raw = spark.read.csv(path)
+    names = raw.columns
+    placed = raw.select(
+        "*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+    )
+    in_block = W.partitionBy("_block").orderBy("_id")
+    blocks = W.orderBy("_block")  # one row per file block
+    offsets = (
+        placed.groupBy("_block")
+        .agg(F.count("*").alias("_rows"))
+        .select("_block", (F.sum("_rows").over(blocks) - F.col("_rows")).alias("_before"))
+    )
+    numbered = (
+        placed.withColumn("_in_block", F.row_number().over(in_block))
+        .join(offsets, "_block")
+        .withColumn("row_position", F.col("_before") + F.col("_in_block") - 1)
+        .drop("_block", "_id", "_before", "_in_block")
+    )
+    lead = len(SHEET_TIME_COLUMNS)
+    renamed = dict(zip(names[:lead], SHEET_TIME_COLUMNS))
+    data = (
+        numbered.where(F.col("row_position") >= 2)
+        .withColumn("row_position", F.col("row_position") - 2)
+        .withColumnsRenamed(renamed)
+        .withColumn("sheet", F.lit(sheet))
+    )
+    two = numbered.where(F.col("row_position") < 2).unpivot(["row_position"], names[lead:], "column", "text")
+    header = two.groupBy("column").agg(
+        F.max(F.when(F.col("row_position") == 0, F.col("text"))).alias("company_id"),
+        F.max(F.when(F.col("row_position") == 1, F.col("text"))).alias("raw_header"),
+    )
+    return data, header.select(F.lit(sheet).alias("sheet"), "column", "company_id", "raw_header")
+
+
 def read_series_header(spark: SparkSession, path: str) -> DataFrame:
     """The two header rows of all sheets as rows (sheet, column, company_id, raw_header)."""
     return spark.read.schema(SERIES_HEADER).option("header", True).csv(path)
