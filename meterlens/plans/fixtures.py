@@ -258,7 +258,9 @@ def _parallel_arrays(df: DataFrame, keys: list[str], time: Column, **values: str
     )
 
 
-_HOUR_TEXT = "yyyy-MM-dd'T'HH:mm"
+def _hour_text(ts: Column) -> Column:
+    """2024-01-01T05:00. Formatting functions would go through the session zone; text does not."""
+    return F.replace(F.substring(ts.cast("string"), 1, 16), F.lit(" "), F.lit("T"))
 
 
 def weather_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +274,7 @@ def weather_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("t").alias("mean"), F.min("t").alias("low"), F.max("t").alias("high")
     )
 
-    hours = _parallel_arrays(hourly, ["n"], F.date_format("hour", _HOUR_TEXT), temperature_2m="t")
+    hours = _parallel_arrays(hourly, ["n"], _hour_text(F.col("hour")), temperature_2m="t")
     days = _parallel_arrays(
         daily,
         ["n"],
@@ -311,6 +313,30 @@ def inertia_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def year_weather_documents(spark: SparkSession) -> DataFrame:
+    """One parsed weather document with the hours and days of the run's year."""
+    temperatures = weather(spark, RUN)
+    one = F.lit(1).alias("one")
+    hours = _parallel_arrays(
+        temperatures.hourly.select("*", one),
+        ["one"],
+        _hour_text(F.col("interval_start")),
+        temperature_2m="temperature_2m",
+    ).withColumnRenamed("part", "hourly")
+    figures = ["temperature_2m_mean", "temperature_2m_min", "temperature_2m_max"]
+    days = _parallel_arrays(
+        temperatures.daily.select("*", one), ["one"], F.col("date").cast("string"), **{f: f for f in figures}
+    ).withColumnRenamed("part", "daily")
+    return hours.join(days, "one").select(
+        F.lit(42.5).alias("latitude"),
+        F.lit(21.0).alias("longitude"),
+        F.lit(573.0).alias("elevation"),
+        F.lit("UTC").alias("timezone"),
+        "hourly",
+        "daily",
+    )
+
+
 def run_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Sources of a whole run: one sheet of three meters per nation, weather and holidays of the year."""
     number = F.substring_index("company_id", " ", -1)
@@ -339,29 +365,9 @@ def run_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     header = readings.select(
         "sheet", _named(F.col("slot"), "s").alias("column"), "company_id", F.col("meter_id").alias("raw_header")
     ).distinct()
-    temperatures = weather(spark, RUN)
-    one = F.lit(1).alias("one")
-    hours = _parallel_arrays(
-        temperatures.hourly.select("*", one),
-        ["one"],
-        F.date_format("interval_start", _HOUR_TEXT),
-        temperature_2m="temperature_2m",
-    ).withColumnRenamed("part", "hourly")
-    figures = ["temperature_2m_mean", "temperature_2m_min", "temperature_2m_max"]
-    days = _parallel_arrays(
-        temperatures.daily.select("*", one), ["one"], F.col("date").cast("string"), **{f: f for f in figures}
-    ).withColumnRenamed("part", "daily")
-    documents = hours.join(days, "one").select(
-        F.lit(42.5).alias("latitude"),
-        F.lit(21.0).alias("longitude"),
-        F.lit(573.0).alias("elevation"),
-        F.lit("UTC").alias("timezone"),
-        "hourly",
-        "daily",
-    )
     return {
         "wide": wide,
         "header": header,
-        "weather_documents": documents,
+        "weather_documents": year_weather_documents(spark),
         "holiday_events": order_holidays(spark, sf_dir),
     }
