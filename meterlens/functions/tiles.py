@@ -22,8 +22,11 @@ def into_tiles(members: DataFrame, group: Sequence[str], identity: str, block_ro
     """Repeat each member once per tile of its group.
 
     Adds ``tile_i <= tile_j`` and ``side``: 0 when the member belongs to block ``tile_i``, else 1.
-    In a diagonal tile all members have side 0.
+    In a diagonal tile all members have side 0. The rows come partitioned by tile into a fixed
+    number of partitions: a tile is few bytes but much work, so partitions must not be merged by
+    their size.
     """
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block_rows))).cast("int")
     sized = members.groupBy(*group).agg(blocks.alias("_blocks"))
     placed = salted_lookup(members, sized, group, "inner").withColumn(
@@ -39,4 +42,5 @@ def into_tiles(members: DataFrame, group: Sequence[str], identity: str, block_ro
             }
         )
         .drop("_block", "_other", "_blocks")
+        .repartition(partitions, *group, *TILE)
     )

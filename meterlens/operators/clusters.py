@@ -8,7 +8,7 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -162,13 +162,18 @@ def silhouette_scores(
             squared += (x[:, feature][:, None] - y[:, feature][None, :]) ** 2
         return np.sqrt(squared)
 
-    def reduce_tile(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        points = np.array(members["point"].tolist(), dtype=float)
-        hot = one_hot(members[label_names].to_numpy(dtype=int))
-        sums = np.zeros((len(members), len(columns)))
-        side = members["side"].to_numpy()
+    size = len(labelled.select("features").first()["features"])
+    axes = [f"x{i}" for i in range(size)]
+
+    def reduce_tile(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
+        def matrix(names: Sequence[str]) -> np.ndarray:
+            return np.column_stack([members.column(name).to_numpy() for name in names])
+
+        points, hot = matrix(axes), one_hot(matrix(label_names))
+        sums = np.zeros((len(points), len(columns)))
+        side = members.column("side").to_numpy()
         left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        diagonal = key[1] == key[2]
+        diagonal = key[1].as_py() == key[2].as_py()
         others = left if diagonal else right
         for start in range(0, len(left), _CHUNK):
             rows = left[start : start + _CHUNK]
@@ -176,17 +181,17 @@ def silhouette_scores(
             sums[rows] += d @ hot[others]
             if not diagonal:
                 sums[others] += d.T @ hot[rows]
-        out = pd.DataFrame(sums, columns=columns)
-        out.insert(0, "company_id", members["company_id"].to_numpy())
-        return out
+        out = {"company_id": members.column("company_id")}
+        return pa.table(out | {name: sums[:, i] for i, name in enumerate(columns)})
 
+    point = vector_to_array("features")
     members = labelled.select(
-        "company_id", F.lit(0).alias("group"), vector_to_array("features").alias("point"), *label_names
+        "company_id", F.lit(0).alias("group"), *[point[i].alias(axis) for i, axis in enumerate(axes)], *label_names
     )
     schema = "company_id string, " + ", ".join(f"{c} double" for c in columns)
     tiled = into_tiles(members, ["group"], "company_id", block_rows).groupBy("group", *TILE)
     summed = (
-        tiled.applyInPandas(reduce_tile, schema)
+        tiled.applyInArrow(reduce_tile, schema)
         .groupBy("company_id")
         .agg(*[F.sum(c).alias(c) for c in columns])
     )
@@ -198,9 +203,9 @@ def silhouette_scores(
         def mean_distance(label: int, k=k) -> Column:
             return F.col(f"d_{k}_{label}") / float(max(sizes[k].get(label, 0), 1))
 
-        size = F.coalesce(*[F.when(own_label == j, F.lit(float(sizes[k].get(j, 0)))) for j in range(k)])
+        members_own = F.coalesce(*[F.when(own_label == j, F.lit(float(sizes[k].get(j, 0)))) for j in range(k)])
         own = F.coalesce(*[F.when(own_label == j, F.col(f"d_{k}_{j}")) for j in range(k)])
-        a = F.when(size > 1, own / (size - 1))
+        a = F.when(members_own > 1, own / (members_own - 1))
         b = F.array_min(
             F.array_compact(
                 F.array(*[F.when(own_label != j, mean_distance(j)) for j in range(k) if sizes[k].get(j, 0)])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +41,13 @@ def _exact_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(flat_x & flat_y, 1.0, np.where(flat_x | flat_y, 0.0, np.clip(r, -1.0, 1.0)))
 
 
+def _spread(values: np.ndarray) -> np.ndarray:
+    """Largest minus smallest present value per row; infinite for rows without values."""
+    high = np.where(np.isnan(values), -np.inf, values).max(axis=1)
+    low = np.where(np.isnan(values), np.inf, values).min(axis=1)
+    return np.abs(high - low)
+
+
 def correlations(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Matrix of profile correlations, NaN below the minimum of shared hours.
 
@@ -63,8 +70,7 @@ def correlations(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     cov = x @ y.T - sum_x * sum_y / safe_n
     with np.errstate(divide="ignore", invalid="ignore"):
         r = np.clip(cov / np.sqrt(var_x * var_y), -1.0, 1.0)
-    spread_l = np.nanmax(np.where(has_l > 0, left, -np.inf), axis=1) - np.nanmin(np.where(has_l > 0, left, np.inf), axis=1)
-    spread_r = np.nanmax(np.where(has_r > 0, right, -np.inf), axis=1) - np.nanmin(np.where(has_r > 0, right, np.inf), axis=1)
+    spread_l, spread_r = _spread(left), _spread(right)
     flat_l, flat_r = (spread_l == 0)[:, None], (spread_r == 0)[None, :]
     r = np.where(flat_l & flat_r, 1.0, np.where(flat_l | flat_r, 0.0, r))
     scale_x, scale_y = (x**2).sum(axis=1)[:, None], (y**2).sum(axis=1)[None, :]
@@ -76,10 +82,13 @@ def correlations(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(enough, r, np.nan)
 
 
-def _reduce_tile(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-    company, tile_i, tile_j = key
-    side = members["side"].to_numpy()
-    values = members[HOURS].to_numpy(dtype=float)
+_PAIR_SCHEMA = "company_id string, total double, pairs bigint, lowest double"
+
+
+def _reduce_tile(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
+    company, tile_i, tile_j = (part.as_py() for part in key)
+    side = members.column("side").to_numpy()
+    values = np.column_stack([members.column(hour).to_numpy() for hour in HOURS])
     left = values[side == 0]
     diagonal = tile_i == tile_j
     right = left if diagonal else values[side == 1]
@@ -95,12 +104,12 @@ def _reduce_tile(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
             total += float(known.sum())
             pairs += int(known.size)
             lowest = min(lowest, float(known.min()))
-    return pd.DataFrame(
+    return pa.table(
         {
-            "company_id": [company],
-            "total": [total],
-            "pairs": [pairs],
-            "lowest": [lowest if pairs else None],
+            "company_id": pa.array([company], pa.string()),
+            "total": pa.array([total], pa.float64()),
+            "pairs": pa.array([pairs], pa.int64()),
+            "lowest": pa.array([lowest if pairs else None], pa.float64()),
         }
     )
 
@@ -108,9 +117,7 @@ def _reduce_tile(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
 def pairwise_profile_correlation(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean and minimum correlation over all meter pairs of each company."""
     tiles = into_tiles(vectors, ["company_id"], "meter_id", block_rows)
-    reduced = tiles.groupBy("company_id", *TILE).applyInPandas(
-        _reduce_tile, "company_id string, total double, pairs bigint, lowest double"
-    )
+    reduced = tiles.groupBy("company_id", *TILE).applyInArrow(_reduce_tile, _PAIR_SCHEMA)
     return reduced.groupBy("company_id").agg(
         F.try_divide(F.sum("total"), F.sum("pairs")).alias("mean_pairwise_profile_correlation"),
         F.min("lowest").alias("minimum_pairwise_profile_correlation"),

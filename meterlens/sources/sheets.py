@@ -119,14 +119,21 @@ def with_row_position(rows: DataFrame) -> DataFrame:
     if "row_position" in rows.columns:
         return rows
     keys = rows.select(*_KEY, "hour").distinct()
-    per_day = keys.groupBy("sheet", "date").agg(F.count("*").alias("in_day"))
+    day = W.partitionBy("sheet", "date")
+    ranked = keys.withColumns(
+        {
+            "in_order": F.row_number().over(day.orderBy(F.col("hour").asc_nulls_last(), "hour_text")) - 1,
+            "in_day": F.count("*").over(day),
+        }
+    )
     days = W.partitionBy("sheet").orderBy(F.col("date").asc_nulls_last())
-    earlier = per_day.select("sheet", "date", (F.sum("in_day").over(days) - F.col("in_day")).alias("before"))
-    hours = W.partitionBy("sheet", "date").orderBy(F.col("hour").asc_nulls_last(), "hour_text")
-    ranked = join_null_safe(
-        keys.withColumn("in_order", F.row_number().over(hours) - 1), earlier, ["sheet", "date"], "inner"
-    ).select(*_KEY, (F.col("before") + F.col("in_order")).alias("row_position"))
-    return join_null_safe(rows, ranked, _KEY, "inner")
+    offsets = ranked.where(F.col("in_order") == 0).select(
+        "sheet", "date", (F.sum("in_day").over(days) - F.col("in_day")).alias("before")
+    )
+    positions = join_null_safe(ranked, offsets, ["sheet", "date"], "inner").select(
+        *_KEY, (F.col("before") + F.col("in_order")).alias("row_position")
+    )
+    return join_null_safe(rows, positions, _KEY, "inner")
 
 
 def melt_sheets(wide: DataFrame, header: DataFrame, prosumer_match: str) -> DataFrame:
