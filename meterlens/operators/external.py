@@ -113,11 +113,11 @@ def meter_daily(enriched: DataFrame) -> DataFrame:
 
 
 def company_daily(meters: DataFrame) -> DataFrame:
-    """Company days from meter days."""
+    """Company days from meter days, which hold a meter once per day, so meters are just counted."""
     return meters.groupBy("company_id", *DAY_ATTRIBUTES).agg(
         F.coalesce(F.sum("energy_total_kwh"), F.lit(0.0)).alias("energy_total_kwh"),
         F.sum("valid_hours").alias("valid_hours"),
-        F.countDistinct("meter_id").alias("reporting_meters"),
+        F.count("meter_id").alias("reporting_meters"),
     )
 
 

@@ -122,11 +122,13 @@ def all_zero_runs(cells: DataFrame) -> DataFrame:
     return _islands(zeros).withColumn("run_hours", F.col("last") - F.col("first") + 1)
 
 
-def zero_runs(cells: DataFrame, threshold: int) -> DataFrame:
-    """Runs of at least ``threshold`` zeros with their first key and the key that closes them."""
-    keys = cells.groupBy("sheet", "row_position").agg(
-        F.min("date").alias("date"), F.min("hour").alias("hour")
-    )
+def zero_runs(cells: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+    """Runs of at least ``threshold`` zeros with their first key and the key that closes them.
+
+    ``rows`` are the sheet rows with ``row_position``; the keys come from there, so the cells
+    are only scanned for zeros.
+    """
+    keys = rows.groupBy("sheet", "row_position").agg(F.min("date").alias("date"), F.min("hour").alias("hour"))
     start = keys.select(
         "sheet",
         F.col("row_position").alias("first"),

@@ -11,9 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from meterlens.operators import audits, clusters, external, ingest, outliers, profiles, quality, similarity, summaries
 from meterlens.settings import Settings
 from meterlens.sinks.store import RunLog, RunStore
-from meterlens.sources.sheets import melt_sheets, parse_headers, time_rows, with_row_position
+from meterlens.sources.holidays import read_holiday_events
+from meterlens.sources.sheets import (
+    melt_sheets,
+    parse_headers,
+    read_raw_sheet,
+    stack_sheets,
+    time_rows,
+    with_row_position,
+)
 from meterlens.sources.tables import source_manifest
-from meterlens.sources.weather import daily_observations, document_metadata, hourly_observations
+from meterlens.sources.weather import (
+    daily_observations,
+    document_metadata,
+    hourly_observations,
+    read_weather_documents,
+)
 
 # Tables without which a run is not published.
 REQUIRED_TABLES = (
@@ -40,6 +53,23 @@ class Inputs:
     holiday_events: DataFrame
     source_path: str | None = None
 
+    @classmethod
+    def from_files(
+        cls, spark: SparkSession, sheets: Mapping[str, str], weather_path: str, holiday_path: str, source_path: str
+    ) -> Inputs:
+        """Read exported sheets (name -> CSV path, header rows included), weather JSON and holiday CSV."""
+        read = [read_raw_sheet(spark, path, name) for name, path in sheets.items()]
+        header = read[0][1]
+        for _, other in read[1:]:
+            header = header.unionByName(other)
+        return cls(
+            wide=stack_sheets([data for data, _ in read]),
+            header=header,
+            weather_documents=read_weather_documents(spark, weather_path),
+            holiday_events=read_holiday_events(spark, holiday_path),
+            source_path=source_path,
+        )
+
 
 def _as_mapping(metrics: DataFrame) -> dict[str, str]:
     """A (metric, value) summary of a fixed number of rows as a dict."""
@@ -103,7 +133,7 @@ class Analysis:
         anomalies = store.write(
             quality.value_anomalies(self.cells, self.quality, s.extreme_multiple), "value_anomalies"
         )
-        store.write(quality.zero_runs(self.cells, s.zero_run_hours), "zero_runs")
+        store.write(quality.zero_runs(self.cells, self.rows, s.zero_run_hours), "zero_runs")
         self._audits += audits.header_audits(self.series, s.prosumer_sheet_match)
         self._audits.append(audits.lookup_audit(self.cells, self.quality, quality.SERIES))
         return self._summarise(summaries.quality_summary(self.quality, checks, timeline, anomalies), "quality")

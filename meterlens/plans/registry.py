@@ -28,7 +28,7 @@ from meterlens.plans.analysis import Inputs, run_all
 from meterlens.settings import CLUSTER_FEATURES, PEER_METRICS
 from meterlens.sinks.store import current_table, run_history, step_history
 from meterlens.sources import weather as weather_source
-from meterlens.sources.sheets import melt_sheets, parse_headers, time_rows
+from meterlens.sources.sheets import melt_sheets, parse_headers, time_rows, with_row_position
 from meterlens.sources.tables import source_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,12 +223,14 @@ def sheet_checks(spark, d):
 
 @query
 def zero_runs(spark, d):
-    return quality.zero_runs(_cells(spark, d), fx.SHIFTED.zero_run_hours)
+    return quality.zero_runs(
+        _stored_cells(spark, d), with_row_position(_rows(spark, d)), fx.SHIFTED.zero_run_hours
+    )
 
 
 @query
 def value_anomalies(spark, d):
-    cells = _cells(spark, d)
+    cells = _stored_cells(spark, d)
     statistics = quality.series_statistics(cells, fx.SHIFTED.expected_hours)
     return quality.value_anomalies(cells, statistics, fx.SHIFTED.extreme_multiple)
 

@@ -161,3 +161,27 @@ def test_failed_audit_stops_publication(spark, tmp_path, year, dimensions, monke
     assert current_run(spark, str(tmp_path)) is None
     last = step_history(spark, str(tmp_path)).orderBy(F.col("step").desc()).first()
     assert (last["name"], last["status"], last["error_type"]) == ("audits", "failed", "AuditFailure")
+
+
+def test_inputs_from_files(spark, tmp_path):
+    lead = ["", "", "", "", "", ""]
+    for name, meters in (("Prosumer", ["M1 - A+", "M1 - A-"]), ("Other", ["M2"])):
+        rows = [lead + ["Company 1"] * len(meters), lead + meters]
+        rows += [["1998", "1", "3", "1998-01-01", str(h), "A1"] + ["2.5"] * len(meters) for h in (1, 2)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(",".join(r) for r in rows) + "\n")
+    (tmp_path / "weather.json").write_text('{"latitude": 42.5, "hourly": {"time": ["1998-01-01T00:00"], "temperature_2m": [1.5]}}')
+    (tmp_path / "holidays.csv").write_text(
+        "holiday_id,holiday_name,holiday_date,observed_date,source_year,date_may_change\na,New Year,1998-01-01,1998-01-01,1998,false\n"
+    )
+    loaded = Inputs.from_files(
+        spark,
+        {n: str(tmp_path / f"{n}.csv") for n in ("Prosumer", "Other")},
+        str(tmp_path / "weather.json"),
+        str(tmp_path / "holidays.csv"),
+        str(tmp_path / "*.csv"),
+    )
+    run = Analysis(spark, loaded, fx.RUN, str(tmp_path / "out"))
+    found = run.quality_step()
+    assert (found["series_count"], found["physical_meter_count"], found["sheet_count"]) == ("3", "2", "2")
+    assert {r["name"] for r in run.store.read("source_manifest").collect()} == {"Prosumer.csv", "Other.csv", "holidays.csv"}
+    assert loaded.holiday_events.first()["holiday_name"] == "New Year"

@@ -51,7 +51,7 @@ def test_48_zero_hours_are_one_event(spark):
 
 def test_zero_run_closed_by_blank_text_value_or_end(spark):
     table = cells(spark, A=["0", "0", "0", None, "0", "0", "0", "x", "0", "0", "0", "5", "0", "0", "0"])
-    runs = quality.zero_runs(table, 3).orderBy("start_hour").collect()
+    runs = quality.zero_runs(table, table, 3).orderBy("start_hour").collect()
     assert [(r["start_hour"], r["run_hours"], r["next_hour"]) for r in runs] == [
         (1, 3, 4),
         (5, 3, 8),
