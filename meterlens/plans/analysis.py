@@ -13,12 +13,12 @@ from meterlens.settings import Settings
 from meterlens.sinks.store import RunLog, RunStore
 from meterlens.sources.holidays import read_holiday_events
 from meterlens.sources.sheets import (
-    melt_sheets,
+    melt_rows,
     parse_headers,
+    placed_rows,
     read_raw_sheet,
+    row_times,
     stack_sheets,
-    time_rows,
-    with_row_position,
 )
 from meterlens.sources.tables import source_manifest
 from meterlens.sources.weather import (
@@ -116,15 +116,12 @@ class Analysis:
         s, store = self.settings, self.store
         if self.inputs.source_path is not None:
             store.write(source_manifest(self.spark, self.inputs.source_path), "source_manifest")
-        # Rows and typed cells are stored first: every later pass scans them column by column.
-        rows = with_row_position(time_rows(self.inputs.wide))
-        self.rows = store.write(
-            rows.select("sheet", "row_position", "period_year", "period_month", "date", "hour", "hour_text", "tariff"),
-            "sheet_rows",
-        )
+        # Placed rows and typed cells are stored first: every later pass scans them column by column.
+        placed = store.write(placed_rows(self.inputs.wide), "sheet_rows")
+        self.rows = row_times(placed)
         self.series = store.write(parse_headers(self.inputs.header, s.prosumer_sheet_match), "series")
         self.cells = store.write(
-            quality.typed_cells(melt_sheets(self.inputs.wide, self.inputs.header, s.prosumer_sheet_match)),
+            quality.typed_cells(melt_rows(placed, self.inputs.header, s.prosumer_sheet_match)),
             "sheet_cells",
         )
         self.quality = store.write(quality.series_quality(self.cells, s), "meter_quality")

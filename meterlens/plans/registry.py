@@ -28,7 +28,7 @@ from meterlens.plans.analysis import Inputs, run_all
 from meterlens.settings import CLUSTER_FEATURES, PEER_METRICS
 from meterlens.sinks.store import current_table, run_history, step_history
 from meterlens.sources import weather as weather_source
-from meterlens.sources.sheets import melt_sheets, parse_headers, time_rows, with_row_position
+from meterlens.sources.sheets import melt_rows, melt_sheets, parse_headers, placed_rows, row_times, time_rows
 from meterlens.sources.tables import source_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,9 +223,9 @@ def sheet_checks(spark, d):
 
 @query
 def zero_runs(spark, d):
-    return quality.zero_runs(
-        _stored_cells(spark, d), with_row_position(_rows(spark, d)), fx.SHIFTED.zero_run_hours
-    )
+    placed = _stored(spark, placed_rows(fx.wide_sheets(spark, d)))
+    cells = melt_rows(placed, fx.series_header(spark, d), "prosumer")
+    return quality.zero_runs(cells, row_times(placed), fx.SHIFTED.zero_run_hours)
 
 
 @query

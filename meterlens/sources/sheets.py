@@ -136,10 +136,12 @@ def with_row_position(rows: DataFrame) -> DataFrame:
     return join_null_safe(rows, positions, _KEY, "inner")
 
 
-def melt_sheets(wide: DataFrame, header: DataFrame, prosumer_match: str) -> DataFrame:
-    """Wide sheets to one text cell per (series, row).
+_ROW_COLUMNS = ("sheet", "row_position", "period_year", "period_month", "date", "hour", "hour_text", "tariff")
+
+
+def placed_rows(wide: DataFrame) -> DataFrame:
+    """Typed sheet rows with positions; the series columns become text.
 
-    Positions are attached to the sheet rows before melting, when the table is narrow in rows.
     Floating-point columns lose NaN here; from this point on a missing value is NULL.
     """
     series = [c for c in wide.columns if c not in {"sheet", "row_position", *SHEET_TIME_COLUMNS}]
@@ -148,8 +150,22 @@ def melt_sheets(wide: DataFrame, header: DataFrame, prosumer_match: str) -> Data
         .cast("string")
         for c in series
     }
-    rows = with_row_position(time_rows(wide.withColumns(as_text)))
-    ids = [c for c in rows.columns if c not in series]
-    melted = rows.unpivot(ids, series, "column", "raw_value")
+    return with_row_position(time_rows(wide.withColumns(as_text)))
+
+
+def row_times(placed: DataFrame) -> DataFrame:
+    """The time part of placed rows."""
+    return placed.select(*_ROW_COLUMNS)
+
+
+def melt_rows(placed: DataFrame, header: DataFrame, prosumer_match: str) -> DataFrame:
+    """Placed rows to one text cell per (series, row)."""
+    series = [c for c in placed.columns if c not in _ROW_COLUMNS]
+    melted = placed.unpivot(list(_ROW_COLUMNS), series, "column", "raw_value")
     named = salted_lookup(melted, parse_headers(header, prosumer_match), ["sheet", "column"], "inner")
     return named.drop("column")
+
+
+def melt_sheets(wide: DataFrame, header: DataFrame, prosumer_match: str) -> DataFrame:
+    """Wide sheets to cells; positions are attached before melting, while rows are few."""
+    return melt_rows(placed_rows(wide), header, prosumer_match)
