@@ -81,10 +81,15 @@ def fit_scaling(df: DataFrame, features: Sequence[str], scaler: str) -> Scaling:
     return Scaling(offset, {f: s if s > 0 else 1.0 for f, s in scale.items()})
 
 
+def with_scaled_features(df: DataFrame, features: Sequence[str], scaling: Scaling) -> DataFrame:
+    """Add the vector column ``features`` in scaled units."""
+    values = F.array(*[scaling.apply(f) for f in features])
+    return df.withColumn("features", array_to_vector(values))
+
+
 def scaled_points(df: DataFrame, features: Sequence[str], scaling: Scaling) -> DataFrame:
     """(company_id, features vector) in scaled units."""
-    values = F.array(*[scaling.apply(f) for f in features])
-    return df.select("company_id", array_to_vector(values).alias("features"))
+    return with_scaled_features(df, features, scaling).select("company_id", "features")
 
 
 def feature_statistics(df: DataFrame, features: Sequence[str], scaling: Scaling) -> DataFrame:
@@ -181,21 +186,23 @@ def silhouette_scores(
             sums[rows] += d @ hot[others]
             if not diagonal:
                 sums[others] += d.T @ hot[rows]
-        out = {"company_id": members.column("company_id")}
-        return pa.table(out | {name: sums[:, i] for i, name in enumerate(columns)})
+        kept = {name: members.column(name) for name in ("company_id", *label_names)}
+        return pa.table(kept | {name: sums[:, i] for i, name in enumerate(columns)})
 
     point = vector_to_array("features")
     members = labelled.select(
-        "company_id", F.lit(0).alias("group"), *[point[i].alias(axis) for i, axis in enumerate(axes)], *label_names
+        "company_id", F.lit(0).alias("group"), *[point[i].alias(axis) for i, axis in enumerate(axes)],
+        *[F.col(name).cast("int").alias(name) for name in label_names],
+    )
+    schema = ", ".join(
+        ["company_id string", *[f"{c} int" for c in label_names], *[f"{c} double" for c in columns]]
     )
-    schema = "company_id string, " + ", ".join(f"{c} double" for c in columns)
     tiled = into_tiles(members, ["group"], "company_id", block_rows).groupBy("group", *TILE)
     summed = (
         tiled.applyInArrow(reduce_tile, schema)
-        .groupBy("company_id")
+        .groupBy("company_id", *label_names)
         .agg(*[F.sum(c).alias(c) for c in columns])
     )
-    labels = labelled.select("company_id", *label_names)
     scores = []
     for k in ks:
         own_label = F.col(label_column(k))
@@ -212,7 +219,7 @@ def silhouette_scores(
             )
         )
         scores.append(F.avg(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))).alias(str(k)))
-    row = summed.join(labels, "company_id").agg(*scores).first()
+    row = summed.agg(*scores).first()
     return {k: row[str(k)] for k in ks}
 
 
@@ -285,29 +292,37 @@ def describe_centers(centers: DataFrame, overall: Mapping[str, float]) -> DataFr
 
 @dataclass(frozen=True)
 class Projection:
-    points: DataFrame
+    """Two principal axes of centred feature vectors."""
+
+    means: Sequence[float]
+    axes: np.ndarray
     explained_variance: float
 
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Add ``pca_1`` and ``pca_2`` next to the vector column ``features``."""
+        array = vector_to_array("features")
+
+        def component(j: int) -> Column:
+            parts = [(array[i] - mean) * float(self.axes[i, j]) for i, mean in enumerate(self.means)]
+            return reduce(Column.__add__, parts)
+
+        return df.withColumns({"pca_1": component(0), "pca_2": component(1)})
+
 
 def pca_2d(points: DataFrame) -> Projection:
     """Two centred principal components. Each component's largest absolute loading is positive."""
     size = len(points.select("features").first()["features"])
     array = vector_to_array("features")
-    means = points.agg(*[F.avg(array[i]).alias(str(i)) for i in range(size)]).first()
-    centred = F.array(*[array[i] - means[i] for i in range(size)])
+    row = points.agg(*[F.avg(array[i]).alias(str(i)) for i in range(size)]).first()
+    means = [row[str(i)] for i in range(size)]
+    centred = F.array(*[array[i] - mean for i, mean in enumerate(means)])
     model = PCA(k=2, inputCol="_centred", outputCol="_pca").fit(
         points.select(array_to_vector(centred).alias("_centred"))
     )
     loadings = model.pc.toArray()
     largest = np.abs(loadings).argmax(axis=0)
     signs = np.sign(loadings[largest, range(2)])
-    axes = loadings * signs
-
-    def component(j: int) -> Column:
-        return reduce(Column.__add__, [(array[i] - means[i]) * float(axes[i, j]) for i in range(size)])
-
-    projected = points.select("company_id", component(0).alias("pca_1"), component(1).alias("pca_2"))
-    return Projection(projected, float(sum(model.explainedVariance)))
+    return Projection(means, loadings * signs, float(sum(model.explainedVariance)))
 
 
 @dataclass(frozen=True)
@@ -394,17 +409,16 @@ def company_clusters(
         "raw_cluster int, " + ", ".join(f"{f} double" for f in features),
     )
     centers = describe_centers(number_centers(raw_centers), overall)
-    points = scaled_points(eligible, features, scaling)
-    labelled = with_labels(points, {selected: model}).select(
-        "company_id", F.col(label_column(selected)).alias("raw_cluster")
+    projection = pca_2d(scaled_points(eligible, features, scaling))
+    names = centers.select(
+        F.col("raw_cluster").alias(label_column(selected)), "cluster_number", "cluster_id", "cluster_description"
     )
-    projection = pca_2d(points)
-    names = centers.select("raw_cluster", "cluster_number", "cluster_id", "cluster_description")
+    labelled = with_labels(with_scaled_features(eligible, features, scaling), {selected: model})
     assignments = (
-        eligible.join(labelled, "company_id")
-        .join(F.broadcast(names), "raw_cluster")  # at most k_max rows
-        .drop("raw_cluster")
-        .join(projection.points, "company_id")
+        projection.apply(labelled)
+        .drop("features")
+        .join(F.broadcast(names), label_column(selected))  # at most k_max rows
+        .drop(label_column(selected))
         .withColumns(
             {
                 "seasonality_input_reliable": F.col("seasonality_reliable"),

@@ -685,7 +685,8 @@ def silhouette_grid(spark, d):
 def pca_2d(spark, d):
     metrics = clusters.eligible_companies(_stored_metrics(spark, d), CLUSTER_FEATURES)
     scaling = clusters.fit_scaling(metrics, CLUSTER_FEATURES, "minmax")
-    return clusters.pca_2d(clusters.scaled_points(metrics, CLUSTER_FEATURES, scaling)).points
+    points = clusters.scaled_points(metrics, CLUSTER_FEATURES, scaling)
+    return clusters.pca_2d(points).apply(points).drop("features")
 
 
 def _stored_metrics(spark, d):

@@ -144,14 +144,15 @@ def test_center_numbers_and_descriptions(spark):
 
 def test_pca_matches_svd(eligible, matrix):
     scaling = clusters.fit_scaling(eligible, CLUSTER_FEATURES, "minmax")
-    projection = clusters.pca_2d(clusters.scaled_points(eligible, CLUSTER_FEATURES, scaling))
+    points = clusters.scaled_points(eligible, CLUSTER_FEATURES, scaling)
+    projection = clusters.pca_2d(points)
     offset, scale = expected_scaling(matrix, "minmax")
     centred = (matrix - offset) / scale
     centred = centred - centred.mean(axis=0)
     _, s, vt = np.linalg.svd(centred, full_matrices=False)
     axes = vt[:2] * np.sign(vt[:2][range(2), np.abs(vt[:2]).argmax(axis=1)])[:, None]
     expected = {f"Company {i}": row for i, row in enumerate(centred @ axes.T)}
-    for row in projection.points.collect():
+    for row in projection.apply(points).collect():
         assert (row["pca_1"], row["pca_2"]) == pytest.approx(tuple(expected[row["company_id"]]), abs=1e-9)
     assert projection.explained_variance == pytest.approx((s[:2] ** 2).sum() / (s**2).sum())
 
