@@ -118,12 +118,13 @@ def hourly_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings per customer nation and order hour; every twentieth order has no energy."""
+    """Readings per customer nation and order hour; pending orders without a priority have no energy."""
+    unread = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "4-NOT SPECIFIED")
     orders = table(spark, sf_dir, "orders").select(
         "o_custkey",
         F.to_date("o_orderdate").alias("date"),
         (F.col("o_orderkey") % 24 + 1).cast("int").alias("hour_1_24"),
-        F.when(F.col("o_orderkey") % 20 != 0, quarters(F.col("o_totalprice"))).alias("energy"),
+        F.when(~unread, quarters(F.col("o_totalprice"))).alias("energy"),
     )
     customers = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") + 1).alias("n"))
     readings = (

@@ -100,7 +100,8 @@ SELECT *, {_CALENDAR} FROM (
          'consumption_import' AS energy_flow, 'orders' AS source_sheet,
          o_orderdate + CAST(o_orderkey % 24 AS INT) * INTERVAL '1' HOUR AS interval_start,
          CAST(o_orderdate AS DATE) AS date, CAST(o_orderkey % 24 + 1 AS INT) AS hour_1_24,
-         sum(CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE floor(o_totalprice * 4) / 4 END) AS energy_kwh
+         sum(CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED' THEN NULL
+                  ELSE floor(o_totalprice * 4) / 4 END) AS energy_kwh
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)""",
 )
 _cte(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,17 +29,41 @@ def read_table(
     return table.select(*columns) if columns else table
 
 
-def source_manifest(spark: SparkSession, path: str) -> DataFrame:
+# Files up to this size are hashed from a binary column; Spark cannot hold more than 2 GB in one value.
+_COLUMN_BYTES = 1 << 30
+_READ_BYTES = 8 << 20
+
+
+def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for uri in batch.column("path").to_pylist():
+            # Hadoop writes local files as file:/path, Arrow expects file:///path.
+            system, location = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+            digest = hashlib.sha256()
+            with system.open_input_stream(location) as stream:
+                while block := stream.read(_READ_BYTES):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), pa.array(digests, pa.string())], names=["path", "sha256"]
+        )
+
+
+def source_manifest(spark: SparkSession, path: str, column_bytes: int = _COLUMN_BYTES) -> DataFrame:
     """One row per source file: name, path, size, modification time and SHA-256 of its content.
 
-    A fingerprint needs a file whole, so this is for source exports of at most 2 GB a file (the
-    limit of a binary value in Spark); the files are hashed in parallel.
+    Files are hashed in parallel. A digest is sequential by definition, so a file is the unit of
+    work; larger files are streamed through the digest in small blocks and never held whole.
     """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        "path",
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-        F.sha2("content", 256).alias("sha256"),
+    size = F.col("length")
+    small = files.where(size <= column_bytes).select("path", F.sha2("content", 256).alias("sha256"))
+    large = files.where(size > column_bytes).select("path").mapInArrow(_stream_digests, "path string, sha256 string")
+    listing = files.select(
+        "path", size.alias("size_bytes"), F.col("modificationTime").alias("modified_at")
+    )
+    return (
+        listing.join(small.unionByName(large), "path")
+        .select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "size_bytes", "modified_at", "sha256")
     )

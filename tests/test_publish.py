@@ -67,11 +67,16 @@ def test_tables_are_written_once(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in found._jdf.queryExecution().executedPlan().toString()
 
 
-def test_source_manifest(spark, tmp_path):
-    (tmp_path / "a.bin").write_bytes(b"source")
-    row = source_manifest(spark, str(tmp_path / "a.bin")).first()
-    assert (row["name"], row["size_bytes"]) == ("a.bin", 6)
-    assert row["sha256"] == hashlib.sha256(b"source").hexdigest()
+@pytest.mark.parametrize("column_bytes", [1 << 30, 8])
+def test_source_manifest(spark, tmp_path, column_bytes):
+    contents = {"a.bin": b"source", "b.bin": b"a longer source" * 1000}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    rows = {r["name"]: r for r in source_manifest(spark, str(tmp_path / "*.bin"), column_bytes).collect()}
+    assert set(rows) == set(contents)
+    for name, content in contents.items():
+        assert rows[name]["size_bytes"] == len(content)
+        assert rows[name]["sha256"] == hashlib.sha256(content).hexdigest()
 
 
 @pytest.fixture(scope="module")
