@@ -8,12 +8,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from meterlens.plans.oracles import all_oracles
+from meterlens.plans.registry import all_queries
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-ORACLES = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+ORACLES = all_oracles()
+QUERIES = all_queries()
 
 
 @pytest.fixture(scope="module")
