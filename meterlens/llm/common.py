@@ -62,3 +62,11 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 <
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts as Python strings, null as the empty one."""
     return pc.fill_null(batch.column(column), "").to_pylist()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
