@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlens.llm import packing, simhash, token_counts, token_files
+from meterlens.llm import decontamination, packing, quality, secrets, simhash, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontamination.contained_items(docs, items)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.quality_verdicts(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fitted(docs))
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.packed_blocks(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +45,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op6_token_blocks, op8_token_counts)}
+    return {f.__name__: f for f in (
+        op1_packing,
+        op2_simhash,
+        op3_decontamination,
+        op4_quality,
+        op5_secrets,
+        op6_token_blocks,
+        op8_token_counts,
+    )}
 
 
 def llm_oracles() -> dict[str, str]:
