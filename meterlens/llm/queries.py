@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from meterlens.llm import decontamination, packing, quality, secrets, simhash, token_counts, token_files
+from pyspark.sql import functions as F
+
+from meterlens.llm import (
+    decontamination,
+    fixity,
+    packing,
+    preferences,
+    quality,
+    secrets,
+    simhash,
+    token_counts,
+    token_files,
+    urls,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +52,26 @@ def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.packed_blocks(_table(spark, sf_dir, "documents"))
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preferences.conversation_turns(_table(spark, sf_dir, "conversations"))
+    return preferences.format_preferences(preferences.reply_pairs(turns))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit_pages(_table(spark, sf_dir, "pages"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of `labels` count as those of the pages with the same number."""
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.cast("int").alias("good"))
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"), labels)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_packing,
@@ -52,7 +80,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_quality,
         op5_secrets,
         op6_token_blocks,
+        op7_preferences,
         op8_token_counts,
+        op9_fixity,
+        op10_urls,
     )}
 
 
