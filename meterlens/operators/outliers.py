@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from meterlens.functions.skew import salted_lookup
 from meterlens.settings import PEER_METRICS
 
-# Rows of a detail table in a report (fixed value).
-REPORT_ROWS = 100_000
-
 
 def zscore_outliers(
     readings: DataFrame,
@@ -49,13 +46,14 @@ def zscore_outliers(
     )
 
 
-def most_extreme_first(outliers: DataFrame) -> DataFrame:
-    return outliers.orderBy(F.abs("z_score").desc())
+def most_extreme_first(outliers: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """All outliers in the order of a report: a range sort, so no task holds them all."""
+    return outliers.orderBy(F.abs("z_score").desc(), *ties)
 
 
-def top_outliers(outliers: DataFrame, rows: int = REPORT_ROWS, ties: Sequence[str] = ()) -> DataFrame:
-    """The report extract: the ``rows`` most extreme outliers."""
-    return outliers.orderBy(F.abs("z_score").desc(), *ties).limit(rows)
+def top_outliers(outliers: DataFrame, rows: int, ties: Sequence[str]) -> DataFrame:
+    """The ``rows`` most extreme outliers; ``ties`` decide between equal scores."""
+    return most_extreme_first(outliers, ties).limit(rows)
 
 
 def outlier_summary(outliers: DataFrame, keys: Sequence[str]) -> DataFrame:

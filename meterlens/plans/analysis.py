@@ -206,8 +206,11 @@ class Analysis:
         )
         store.write(outliers.outlier_summary(self.meter_outliers, profiles.METER), "meter_outlier_summary")
         store.write(outliers.outlier_summary(self.company_outliers, profiles.COMPANY), "company_outlier_summary")
-        store.write_report(outliers.top_outliers(self.meter_outliers), "meter_hourly_detail")
-        store.write_report(outliers.top_outliers(self.company_outliers), "company_hourly_detail")
+        for table, keys, name in (
+            (self.meter_outliers, profiles.METER, "meter_hourly_detail"),
+            (self.company_outliers, profiles.COMPANY, "company_hourly_detail"),
+        ):
+            store.write_report(outliers.most_extreme_first(table, [*keys, "interval_start"]), name)
         return self._summarise(
             summaries.outlier_run_summary(self.meter_outliers, self.company_outliers, peers), "outliers"
         )

@@ -22,6 +22,9 @@ from meterlens.functions.cells import EXPORT, IMPORT
 from meterlens.settings import Settings
 
 USERS_PER_COMPANY = 30
+HOLIDAY_EVERY = 29
+# Hours that wide sheets repeat, as a condition that both engines read.
+TWICE = "day(date) = 10 AND hour_1_24 IN (5, 6)"
 
 # The 30 days of the events table.
 HOURLY = Settings(
@@ -47,8 +50,8 @@ YEARLY = HOURLY.replace(
     seasonality_index=1.02,
     seasonality_difference=0.02,
 )
-# A whole run over the readings of that year.
-RUN = YEARLY.replace(start_date="1998-01-01", end_date="1998-12-31", k_max=3)
+# A whole run over all readings, profiles over that year.
+RUN = YEARLY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,19 +67,18 @@ def _named(number: Column, prefix: str) -> Column:
 
 
 def _event_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(n, m, exported, hour, energy) per event: company number, meter slot, flow, hour."""
+    """(n, m, exported, hour, energy) per event: company number, meter slot, flow, hour.
+
+    A company feeds in at meter 0, whichever of its meters the event came from.
+    """
     slot = F.col("user_id") % 16
     exported = F.col("event_type") == "error"
-    return (
-        table(spark, sf_dir, "events")
-        .select(
-            F.expr(f"user_id div {USERS_PER_COMPANY} + 1").alias("n"),
-            F.when(slot < 8, 0).when(slot < 12, 1).when(slot < 14, 2).otherwise(3).alias("m"),
-            exported.alias("exported"),
-            floor_hour(F.col("ts")).alias("hour"),
-            quarters(F.col("value")).alias("energy"),
-        )
-        .where(~F.col("exported") | (F.col("m") == 0))
+    return table(spark, sf_dir, "events").select(
+        F.expr(f"user_id div {USERS_PER_COMPANY} + 1").alias("n"),
+        F.when(exported | (slot < 8), 0).when(slot < 12, 1).when(slot < 14, 2).otherwise(3).alias("m"),
+        exported.alias("exported"),
+        floor_hour(F.col("ts")).alias("hour"),
+        quarters(F.col("value")).alias("energy"),
     )
 
 
@@ -145,7 +147,10 @@ def daily_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets of text cells: per company one prosumer sheet (s1, s2) and one standard sheet (s1-s3)."""
+    """Sheets of text cells: per company one prosumer sheet (s1, s2) and one standard sheet (s1-s3).
+
+    Rows for which TWICE holds stand in their sheet twice.
+    """
     hourly = hourly_readings(spark, sf_dir)
     energy, hour = F.col("energy_kwh"), F.col("hour_1_24")
     text = (
@@ -163,7 +168,7 @@ def wide_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # The last hour of a day carries the month of the day after next, a metadata error.
     period = F.when(F.col("Hour") == 24, F.date_add("Date", 2)).otherwise(F.col("Date"))
-    return (
+    once = (
         cells.groupBy("sheet", F.col("date").alias("Date"), F.col("hour_1_24").alias("Hour"))
         .agg(*[F.max(F.when(F.col("slot") == i, F.col("raw"))).alias(f"s{i}") for i in (1, 2, 3)])
         .withColumns(
@@ -175,6 +180,8 @@ def wide_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
     )
+    twice = F.expr(TWICE.replace("hour_1_24", "Hour"))
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(twice, 2).otherwise(1)))).drop("copy")
 
 
 def _slot(m: Column, flow: Column) -> Column:
@@ -235,17 +242,23 @@ def holiday_events(spark: SparkSession) -> DataFrame:
 
 
 def order_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of very large orders as holidays named by priority; weekend days are observed on Monday."""
-    day = F.to_date("o_orderdate")
+    """Holidays named by the priorities of a day's orders; weekend days are observed on Monday.
+
+    A day is one when the quarters of all its orders add up to a multiple of HOLIDAY_EVERY: about one day in so many,
+    whatever the size of the tables.
+    """
+    day = F.col("day")
     weekday = F.weekday(day)
-    return (
-        table(spark, sf_dir, "orders")
-        .where(F.col("o_totalprice") > 495_000)
-        .select(
-            F.col("o_orderpriority").alias("holiday_name"),
-            day.alias("holiday_date"),
-            F.when(weekday >= 5, F.date_add(day, F.lit(7) - weekday)).otherwise(day).alias("observed_date"),
-        )
+    orders = table(spark, sf_dir, "orders").select(
+        F.to_date("o_orderdate").alias("day"), "o_orderpriority", F.floor(F.col("o_totalprice") * 4).alias("price")
+    )
+    days = orders.groupBy("day").agg(
+        F.sum("price").alias("price"), F.array_sort(F.collect_set("o_orderpriority")).alias("names")
+    )
+    return days.where(F.col("price") % HOLIDAY_EVERY == 0).select(
+        F.explode("names").alias("holiday_name"),
+        day.alias("holiday_date"),
+        F.when(weekday >= 5, F.date_add(day, F.lit(7) - weekday)).otherwise(day).alias("observed_date"),
     )
 
 
@@ -314,8 +327,8 @@ def inertia_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def year_weather_documents(spark: SparkSession) -> DataFrame:
-    """One parsed weather document with the hours and days of the run's year."""
+def period_weather_documents(spark: SparkSession) -> DataFrame:
+    """One parsed weather document with the hours and days of the run's period."""
     temperatures = weather(spark, RUN)
     one = F.lit(1).alias("one")
     hours = _parallel_arrays(
@@ -339,17 +352,13 @@ def year_weather_documents(spark: SparkSession) -> DataFrame:
 
 
 def run_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Sources of a whole run: one sheet of three meters per nation, weather and holidays of the year."""
+    """Sources of a whole run: one sheet of three meters per nation, weather and holidays of the period."""
     number = F.substring_index("company_id", " ", -1)
-    readings = (
-        daily_readings(spark, sf_dir)
-        .where(F.col("date").between(F.lit(RUN.start_date).cast("date"), F.lit(RUN.end_date).cast("date")))
-        .withColumns(
-            {
-                "sheet": F.concat(F.lit("Orders "), number),
-                "slot": F.substring_index("meter_id", "M", -1).cast("int") + 1,
-            }
-        )
+    readings = daily_readings(spark, sf_dir).withColumns(
+        {
+            "sheet": F.concat(F.lit("Orders "), number),
+            "slot": F.substring_index("meter_id", "M", -1).cast("int") + 1,
+        }
     )
     wide = (
         readings.groupBy("sheet", F.col("date").alias("Date"), F.col("hour_1_24").alias("Hour"))
@@ -369,6 +378,6 @@ def run_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "wide": wide,
         "header": header,
-        "weather_documents": year_weather_documents(spark),
+        "weather_documents": period_weather_documents(spark),
         "holiday_events": order_holidays(spark, sf_dir),
     }

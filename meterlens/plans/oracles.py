@@ -63,7 +63,7 @@ SELECT user_id // {fx.USERS_PER_COMPANY} + 1 AS n,
        floor(value * 4) / 4 AS energy
 FROM events""",
 )
-_cte("kept", ("ev",), "SELECT * FROM ev WHERE NOT (exported AND m <> 0)")
+_cte("kept", ("ev",), "SELECT * REPLACE (CASE WHEN exported THEN 0 ELSE m END AS m) FROM ev")
 _cte(
     "hours",
     (),
@@ -107,9 +107,10 @@ SELECT *, {_CALENDAR} FROM (
 _cte(
     "cells",
     ("hourly",),
-    """
+    f"""
 SELECT CASE WHEN m = 0 THEN 'Prosumer ' ELSE 'Standard ' END || n AS sheet, company_id, meter_id, energy_flow,
-       date_diff('hour', TIMESTAMP '2024-01-01', interval_start) AS pos, date, hour_1_24 AS hour, interval_start,
+       row_number() OVER (PARTITION BY meter_id, energy_flow ORDER BY interval_start) - 1 AS pos,
+       date, hour_1_24 AS hour, interval_start, CASE WHEN {fx.TWICE} THEN 2 ELSE 1 END AS copies,
        CASE WHEN hour_1_24 BETWEEN 8 AND 22 THEN 'A1' ELSE 'A2' END AS tariff,
        CASE WHEN energy_kwh IS NULL THEN CASE WHEN hour_1_24 % 2 = 0 THEN ' ' END
             WHEN energy_kwh = 0.25 THEN 'n/a' WHEN energy_kwh = 0.5 THEN '-0.5'
@@ -117,7 +118,7 @@ SELECT CASE WHEN m = 0 THEN 'Prosumer ' ELSE 'Standard ' END || n AS sheet, comp
        CASE WHEN energy_kwh = 0.25 THEN NULL WHEN energy_kwh = 0.5 THEN -0.5 ELSE energy_kwh END AS value,
        CASE WHEN energy_kwh IS NULL THEN 'missing' WHEN energy_kwh = 0.25 THEN 'non_numeric'
             WHEN energy_kwh = 0.5 THEN 'negative' WHEN energy_kwh = 0 THEN 'zero' ELSE 'positive' END AS kind
-FROM hourly""",
+FROM (SELECT * FROM hourly UNION ALL SELECT * FROM hourly WHERE {fx.TWICE})""",
 )
 _cte(
     "series",
@@ -133,7 +134,7 @@ _cte(
     "sheet_rows",
     ("cells",),
     """
-SELECT DISTINCT sheet, date, hour, year(period) AS py, month(period) AS pm FROM (
+SELECT DISTINCT sheet, date, hour, copies, year(period) AS py, month(period) AS pm FROM (
   SELECT *, CASE WHEN hour = 24 THEN date + 2 ELSE date END AS period FROM cells)""",
 )
 
@@ -481,10 +482,12 @@ _cte("calendar", ("holidays",), _calendar("holidays", "2024-01-01", "2024-01-30"
 _cte(
     "order_holidays",
     (),
-    """
+    f"""
 SELECT o_orderpriority AS holiday_name, CAST(o_orderdate AS DATE) AS holiday_date,
        CAST(o_orderdate AS DATE) + CASE isodow(o_orderdate) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS observed_date
-FROM orders WHERE o_totalprice > 495000""",
+FROM orders JOIN (
+  SELECT CAST(o_orderdate AS DATE) AS day FROM orders GROUP BY 1
+  HAVING sum(CAST(floor(o_totalprice * 4) AS BIGINT)) % {fx.HOLIDAY_EVERY} = 0) ON day = CAST(o_orderdate AS DATE)""",
 )
 _cte("order_calendar", ("order_holidays",), _calendar("order_holidays", "1995-01-01", "2001-12-31"))
 _cte(
@@ -801,14 +804,14 @@ p active_period_quality_status = active_status
         + _columns(
             """
 p sheet
-i data_rows = count(*)
+i data_rows = sum(copies)
 i series_columns = any_value(columns)
 i physical_meters = any_value(meters)
 i missing_time_keys = 720 - count(*) FILTER (date BETWEEN DATE '2024-01-02' AND DATE '2024-01-31')
 i extra_time_keys = count(*) FILTER (date NOT BETWEEN DATE '2024-01-02' AND DATE '2024-01-31')
-i duplicate_time_keys = count(*) - count(DISTINCT (date, hour))
+i duplicate_time_keys = sum(copies) - count(*)
 i invalid_hours = count(*) FILTER (hour NOT BETWEEN 1 AND 24)
-i date_metadata_mismatches = count(*) FILTER (py <> year(date) OR pm <> month(date))
+i date_metadata_mismatches = sum(copies) FILTER (py <> year(date) OR pm <> month(date))
 """
         )
         + """\nFROM sheet_rows JOIN (SELECT sheet, count(*) AS columns, count(DISTINCT meter_id) AS meters
@@ -820,14 +823,17 @@ FROM series GROUP BY ALL) USING (sheet) GROUP BY sheet""",
         + _columns(
             _ID_SPEC
             + """
-t start_date = CAST(TIMESTAMP '2024-01-01' + first_pos * INTERVAL 1 HOUR AS DATE)
-i start_hour = first_pos % 24 + 1
+t start_date = a.date
+i start_hour = a.hour
 i run_hours
-t next_date = CASE WHEN last_pos < 719 THEN CAST(TIMESTAMP '2024-01-01' + (last_pos + 1) * INTERVAL 1 HOUR AS DATE) END
-i next_hour = CASE WHEN last_pos < 719 THEN (last_pos + 1) % 24 + 1 END
+t next_date = b.date
+i next_hour = b.hour
 """
-        )
-        + "\nFROM runs WHERE run_hours >= 20",
+        ).replace("sheet AS sheet", "r.sheet AS sheet")
+        + """
+FROM runs r JOIN (SELECT DISTINCT sheet, pos, date, hour FROM cells) a ON a.sheet = r.sheet AND a.pos = first_pos
+LEFT JOIN (SELECT DISTINCT sheet, pos, date, hour FROM cells) b ON b.sheet = r.sheet AND b.pos = last_pos + 1
+WHERE run_hours >= 20""",
     )
     o["value_anomalies"] = _select("anomalies", _ID_SPEC + "\nt date\ni hour\np value = raw\np reason")
     o["timeline_issues"] = _select("timeline", "p sheet\nt date\np hour\np issue")
@@ -916,11 +922,11 @@ i time_rows
                 "HAVING count(DISTINCT energy_flow) <> 2)"
             ),
         ),
-        ("time_key_unique_in_sheet", _count("(SELECT sheet, date, hour FROM sheet_rows GROUP BY ALL HAVING count(*) > 1)")),
+        ("time_key_unique_in_sheet", _count("sheet_rows", "copies > 1")),
         (
             "rows_equal_time_rows_by_series",
             "SELECT count(*) FROM (SELECT sheet, count(*) AS a FROM long GROUP BY ALL) "
-            "JOIN (SELECT sheet, count(*) AS b FROM sheet_rows GROUP BY ALL) USING (sheet) "
+            "JOIN (SELECT sheet, sum(copies) AS b FROM sheet_rows GROUP BY ALL) USING (sheet) "
             "JOIN (SELECT sheet, count(*) AS c FROM series GROUP BY ALL) USING (sheet) WHERE a <> b * c",
         ),
         (

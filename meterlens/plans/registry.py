@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +26,7 @@ from meterlens.operators import (
 from meterlens.plans import fixtures as fx
 from meterlens.plans.analysis import Inputs, run_all
 from meterlens.settings import CLUSTER_FEATURES, PEER_METRICS
-from meterlens.sinks.store import current_table, run_history, step_history
+from meterlens.sinks.store import current_table, new_folder, run_history, step_history
 from meterlens.sources import weather as weather_source
 from meterlens.sources.sheets import melt_rows, melt_sheets, parse_headers, placed_rows, row_times, time_rows
 from meterlens.sources.tables import source_manifest
@@ -64,15 +64,6 @@ def all_queries() -> dict[str, Query]:
     return {name: wrapped(function) for name, function in _QUERIES.items()}
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder; machine-local only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="meterlens-")
-    stamp = spark.sql("SELECT uuid()").first()[0]
-    return f"{shared.rstrip('/')}/meterlens-{stamp}"
-
-
 # --- shared intermediate tables -------------------------------------------------------------
 
 
@@ -80,15 +71,13 @@ def _cells(spark, d):
     return melt_sheets(fx.wide_sheets(spark, d), fx.series_header(spark, d), "prosumer")
 
 
-def _stored(spark, df):
-    """A table written once to the scratch folder because several passes read it."""
-    path = f"{scratch_folder(spark)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _kept(df):
+    """A table that several passes read: kept on the executors' disks once the first pass has made it."""
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
-def _stored_cells(spark, d):
-    return _stored(spark, quality.typed_cells(_cells(spark, d)))
+def _typed_cells(spark, d):
+    return _kept(quality.typed_cells(_cells(spark, d)))
 
 
 def _rows(spark, d):
@@ -100,7 +89,7 @@ def _series(spark, d):
 
 
 def _quality(spark, d):
-    return quality.series_quality(_stored_cells(spark, d), fx.SHIFTED)
+    return quality.series_quality(_typed_cells(spark, d), fx.SHIFTED)
 
 
 def _company_hours(spark, d):
@@ -223,14 +212,14 @@ def sheet_checks(spark, d):
 
 @query
 def zero_runs(spark, d):
-    placed = _stored(spark, placed_rows(fx.wide_sheets(spark, d)))
+    placed = _kept(placed_rows(fx.wide_sheets(spark, d)))
     cells = melt_rows(placed, fx.series_header(spark, d), "prosumer")
     return quality.zero_runs(cells, row_times(placed), fx.SHIFTED.zero_run_hours)
 
 
 @query
 def value_anomalies(spark, d):
-    cells = _stored_cells(spark, d)
+    cells = _typed_cells(spark, d)
     statistics = quality.series_statistics(cells, fx.SHIFTED.expected_hours)
     return quality.value_anomalies(cells, statistics, fx.SHIFTED.extreme_multiple)
 
@@ -242,8 +231,8 @@ def timeline_issues(spark, d):
 
 @query
 def quality_summary(spark, d):
-    cells = _stored_cells(spark, d)
-    found = _stored(spark, quality.series_quality(cells, fx.SHIFTED))
+    cells = _typed_cells(spark, d)
+    found = _kept(quality.series_quality(cells, fx.SHIFTED))
     rows = _rows(spark, d)
     return _numeric(
         summaries.quality_summary(
@@ -260,7 +249,7 @@ def _numeric(metrics: DataFrame) -> DataFrame:
 
 
 def _long(spark, d):
-    cells = _stored_cells(spark, d)
+    cells = _typed_cells(spark, d)
     return ingest.hourly_long(cells, quality.series_quality(cells, fx.SHIFTED), fx.SHIFTED)
 
 
@@ -281,11 +270,11 @@ def long_summary(spark, d):
 
 @query
 def run_audits(spark, d):
-    cells = _stored_cells(spark, d)
-    found = _stored(spark, quality.series_quality(cells, fx.SHIFTED))
-    series, rows = _stored(spark, _series(spark, d)), _stored(spark, _rows(spark, d))
-    long = _stored(spark, ingest.hourly_long(cells, found, fx.SHIFTED))
-    calendar, weather = _stored(spark, _calendar(spark)), _stored(spark, _weather(spark))
+    cells = _typed_cells(spark, d)
+    found = _kept(quality.series_quality(cells, fx.SHIFTED))
+    series, rows = _kept(_series(spark, d)), _kept(_rows(spark, d))
+    long = _kept(ingest.hourly_long(cells, found, fx.SHIFTED))
+    calendar, weather = _kept(_calendar(spark)), _kept(_weather(spark))
     enriched = external.enrich_hourly(long, weather, calendar)
     names = lambda values: spark.createDataFrame([(v,) for v in values], "name string")
     return audits.combine(
@@ -365,7 +354,7 @@ def meter_heterogeneity(spark, d):
 
 @query
 def profile_summary(spark, d):
-    hourly = _stored(spark, fx.hourly_readings(spark, d))
+    hourly = _kept(fx.hourly_readings(spark, d))
     hours = profiles.company_hourly(hourly)
     return _numeric(
         summaries.profile_summary(
@@ -511,7 +500,7 @@ def enrichment_summary(spark, d):
 
 @query
 def external_summary(spark, d):
-    meter_days = _stored(spark, _meter_daily(spark, d))
+    meter_days = _kept(_meter_daily(spark, d))
     company_days = external.company_daily(meter_days)
     effects = external.holiday_effects(company_days)
     return _numeric(
@@ -574,13 +563,13 @@ def natural_order(spark, d):
 
 @query
 def company_card(spark, d):
-    readings = _stored(spark, fx.hourly_readings(spark, d))
+    readings = _kept(fx.hourly_readings(spark, d))
     hours = profiles.company_hourly(readings)
     metrics = profiles.company_profile_metrics(
         hours, profiles.basic_metrics(readings, profiles.METER), fx.HOURLY
     )
     enriched = external.enrich_hourly(readings.drop("n", "m"), _weather(spark), _calendar(spark))
-    days = _stored(spark, external.company_daily(external.meter_daily(enriched)))
+    days = _kept(external.company_daily(external.meter_daily(enriched)))
     return dashboard.company_card(
         metrics,
         _heterogeneity(readings),
@@ -605,7 +594,7 @@ def meter_flows(spark, d):
 @query
 def scaled_features(spark, d):
     """Features under each of the three scalers."""
-    eligible = clusters.eligible_companies(_stored_metrics(spark, d), CLUSTER_FEATURES)
+    eligible = clusters.eligible_companies(_kept_metrics(spark, d), CLUSTER_FEATURES)
     parts = []
     for scaler in clusters.SCALERS:
         scaling = clusters.fit_scaling(eligible, CLUSTER_FEATURES, scaler)
@@ -658,7 +647,7 @@ def cluster_description(spark, d):
 def silhouette_by_region(spark, d):
     """Exact silhouette of the grouping of companies by region under minmax scaling."""
     labelled, _ = _region_centers(spark, d)
-    labelled = _stored(spark, labelled)
+    labelled = _kept(labelled)
     scaling = clusters.fit_scaling(labelled, CLUSTER_FEATURES, "minmax")
     points = clusters.scaled_points(labelled, CLUSTER_FEATURES, scaling).join(
         labelled.select("company_id", F.col("region").alias(clusters.label_column(5))), "company_id"
@@ -669,7 +658,7 @@ def silhouette_by_region(spark, d):
 
 @query
 def kmeans_groups(spark, d):
-    groups = clusters.company_clusters(spark, _stored_metrics(spark, d), fx.YEARLY)
+    groups = clusters.company_clusters(spark, _kept_metrics(spark, d), fx.YEARLY)
     return groups.assignments.select(
         "company_id", "cluster_number", "cluster_id", "cluster_description", "pca_1", "pca_2"
     )
@@ -677,44 +666,30 @@ def kmeans_groups(spark, d):
 
 @query
 def silhouette_grid(spark, d):
-    metrics = clusters.eligible_companies(_stored_metrics(spark, d), CLUSTER_FEATURES)
+    metrics = clusters.eligible_companies(_kept_metrics(spark, d), CLUSTER_FEATURES)
     return clusters.scaler_sensitivity(spark, metrics, [2, 3], fx.YEARLY)
 
 
 @query
 def pca_2d(spark, d):
-    metrics = clusters.eligible_companies(_stored_metrics(spark, d), CLUSTER_FEATURES)
+    metrics = clusters.eligible_companies(_kept_metrics(spark, d), CLUSTER_FEATURES)
     scaling = clusters.fit_scaling(metrics, CLUSTER_FEATURES, "minmax")
     points = clusters.scaled_points(metrics, CLUSTER_FEATURES, scaling)
     return clusters.pca_2d(points).apply(points).drop("features")
 
 
-def _stored_metrics(spark, d):
-    """Company metrics written once, because iterative fits read them many times."""
-    return _stored(spark, _yearly_company_metrics(spark, d))
+def _kept_metrics(spark, d):
+    """Company metrics, which iterative fits read many times."""
+    return _kept(_yearly_company_metrics(spark, d))
 
 
 # --- publication -----------------------------------------------------------------------------
 
 
-_PUBLISHED: dict[tuple[str, str], str] = {}
-
-
 def _published(spark, d):
-    """A whole published run over the readings of the orders table, one sheet of three meters per nation.
-
-    Both publication queries read the same run of an application.
-    """
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _PUBLISHED:
-        _PUBLISHED[key] = _publish(spark, d)
-    return _PUBLISHED[key]
-
-
-def _publish(spark, d):
-    root = scratch_folder(spark)
-    inputs = fx.run_inputs(spark, d)
-    run_all(spark, Inputs(**inputs), fx.RUN, root)
+    """The folder of a whole published run over the orders table, one sheet of three meters per nation."""
+    root = new_folder(spark)
+    run_all(spark, Inputs(**fx.run_inputs(spark, d)), fx.RUN, root)
     return root
 
 

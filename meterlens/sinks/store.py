@@ -33,6 +33,12 @@ STEPS_SCHEMA = (
 )
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: below the checkpoint folder, else below the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/meterlens-{uuid.uuid4().hex}"
+
+
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc)
 

@@ -14,8 +14,6 @@ from meterlens.functions.skew import join_null_safe, salted_lookup
 from meterlens.functions.stats import missing_if_nan
 from meterlens.schemas import SERIES_HEADER, SHEET_TIME_COLUMNS, conform
 
-_KEY = ("sheet", "date", "hour_text")
-
 
 def read_sheet_csv(spark: SparkSession, path: str, sheet: str, series_columns: Sequence[str]) -> DataFrame:
     """Data rows of one sheet exported as CSV without its header rows; every cell is text."""
@@ -110,30 +108,29 @@ def time_rows(wide: DataFrame) -> DataFrame:
 
 
 def with_row_position(rows: DataFrame) -> DataFrame:
-    """Zero-based position of each time key inside its sheet.
+    """Zero-based position of each row inside its sheet.
 
-    A given ``row_position`` column (the row number in the source) is kept. Otherwise keys are
-    ranked by date and hour in two levels, days inside a sheet and hours inside a day, so the
-    ordered windows only ever see the distinct days of a sheet or the distinct hours of a day.
+    A given ``row_position`` column (the row number in the source) is kept. Otherwise rows are
+    numbered by date and hour, repeated keys by their content, in two levels: hours inside a day
+    and days inside a sheet. The ordered windows see the rows of a day or the days of a sheet.
     """
     if "row_position" in rows.columns:
         return rows
-    keys = rows.select(*_KEY, "hour").distinct()
-    day = W.partitionBy("sheet", "date")
-    ranked = keys.withColumns(
-        {
-            "in_order": F.row_number().over(day.orderBy(F.col("hour").asc_nulls_last(), "hour_text")) - 1,
-            "in_day": F.count("*").over(day),
-        }
+    in_day = W.partitionBy("sheet", "date").orderBy(
+        F.col("hour").asc_nulls_last(), "hour_text", F.xxhash64(*rows.columns)
     )
     days = W.partitionBy("sheet").orderBy(F.col("date").asc_nulls_last())
-    offsets = ranked.where(F.col("in_order") == 0).select(
-        "sheet", "date", (F.sum("in_day").over(days) - F.col("in_day")).alias("before")
+    offsets = (
+        rows.groupBy("sheet", "date")
+        .agg(F.count("*").alias("_in_day"))
+        .select("sheet", "date", (F.sum("_in_day").over(days) - F.col("_in_day")).alias("_before"))
     )
-    positions = join_null_safe(ranked, offsets, ["sheet", "date"], "inner").select(
-        *_KEY, (F.col("before") + F.col("in_order")).alias("row_position")
+    numbered = rows.withColumn("_in_order", F.row_number().over(in_day) - 1)
+    return (
+        join_null_safe(numbered, offsets, ["sheet", "date"], "inner")
+        .withColumn("row_position", F.col("_before") + F.col("_in_order"))
+        .drop("_before", "_in_order")
     )
-    return join_null_safe(rows, positions, _KEY, "inner")
 
 
 _ROW_COLUMNS = ("sheet", "row_position", "period_year", "period_month", "date", "hour", "hour_text", "tariff")

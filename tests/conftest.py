@@ -20,8 +20,6 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
-        # Plans are many and data tiny: compiling them costs more than it gains.
-        .config("spark.sql.codegen.wholeStage", "false")
         # A zone with clock changes: zone-free timestamps must not notice it.
         .config("spark.sql.session.timeZone", "Europe/Belgrade")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))

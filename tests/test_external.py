@@ -28,18 +28,20 @@ def days(n, step=1, first=dt.date(2025, 6, 1)):
     return [first + dt.timedelta(days=i * step) for i in range(n)]
 
 
-def test_cooling_pattern_literal(spark):
-    rows = []
-    for i, day in enumerate(days(100)):
-        t = i / 5 + 5
-        rows.append(("K", day, 100 + t * 10, 24, t, max(18 - t, 0.0), max(t - 18, 0.0)))
-    row = external.weather_sensitivity(spark.createDataFrame(rows, DAILY), ["company_id"], Settings()).first()
-    assert row["cdd_correlation"] > 0.30
+def test_cooling_days_by_hand(spark):
+    # Twelve warm days: energy is 40 up to 18 degrees and rises by 7 for each degree above.
+    temperatures = [12.0, 13.0, 14.0, 15.0, 16.0, 17.0, 19.0, 20.0, 21.0, 22.0, 23.0, 24.0]
+    rows = [
+        ("Z", day, 40.0 + 7 * max(t - 18, 0.0), 24, t, max(18 - t, 0.0), max(t - 18, 0.0))
+        for day, t in zip(days(12), temperatures)
+    ]
+    settings = Settings().replace(minimum_weather_days=12)
+    row = external.weather_sensitivity(spark.createDataFrame(rows, DAILY), ["company_id"], settings).first()
+    assert row["cdd_correlation"] == pytest.approx(1.0)
     assert row["weather_analysis_reliable"]
-    t = np.array([r[4] for r in rows])
-    e = np.array([r[2] for r in rows])
-    assert row["cold_days_mean_kwh"] == pytest.approx(e[t <= np.quantile(t, 0.25)].mean())
-    assert row["hot_days_mean_kwh"] == pytest.approx(e[t >= np.quantile(t, 0.75)].mean())
+    # Quartiles are 14.75 and 21.25: three days below (all 40), three above (68, 75, 82).
+    assert row["cold_days_mean_kwh"] == pytest.approx(40.0)
+    assert row["hot_days_mean_kwh"] == pytest.approx(75.0)
 
 
 def test_sensitivity_null_paths(spark):
@@ -64,13 +66,16 @@ HOLIDAY_DAILY = (
 )
 
 
-def test_same_weekday_baseline_literal(spark):
-    dates = days(15, 7, dt.date(2025, 6, 2))
-    rows = [("K", d, 100.0, 24, False, None) for d in dates[:14]] + [("K", dates[14], 50.0, 24, True, "Test")]
+def test_baseline_of_the_same_weekday_by_hand(spark):
+    # Thursdays at 60, 80 and 100, Fridays at 500; the holiday is a Thursday at 100.
+    thursday = dt.date(2023, 3, 2)
+    plain = [(0, 60.0), (7, 80.0), (14, 100.0), (1, 500.0), (8, 500.0)]
+    rows = [("Z", thursday + dt.timedelta(n), e, 24, False, None) for n, e in plain]
+    rows.append(("Z", thursday + dt.timedelta(21), 100.0, 24, True, "Feast"))
     row = external.holiday_effects(spark.createDataFrame(rows, HOLIDAY_DAILY)).first()
-    assert row["same_weekday_baseline_kwh"] == 100.0
-    assert row["holiday_effect_pct"] == -0.5
-    assert row["baseline_day_count"] == 14
+    assert row["same_weekday_baseline_kwh"] == pytest.approx(80.0)
+    assert row["holiday_effect_pct"] == pytest.approx(0.25)
+    assert row["baseline_day_count"] == 3
 
 
 def test_holiday_null_paths_and_labels(spark):

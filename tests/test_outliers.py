@@ -9,14 +9,14 @@ from meterlens.settings import PEER_METRICS
 BASELINE = "company_id string, energy_mean_kwh double, energy_std_kwh double"
 
 
-def test_hourly_outlier_literal(spark):
-    readings = spark.createDataFrame([("K", 10.0), ("K", 50.0)], "company_id string, energy_kwh double")
-    baseline = spark.createDataFrame([("K", 10.0, 5.0)], BASELINE)
-    rows = outliers.zscore_outliers(readings, baseline, ["company_id"], 3.0, 50.0).collect()
-    assert len(rows) == 1
-    assert (rows[0]["z_score"], rows[0]["outlier_direction"]) == (8.0, "high")
-    assert rows[0]["recommendation"] == "business_check"
-    assert rows[0]["reason"] == "above the mean with z > 3"
+def test_hourly_outlier_by_hand(spark):
+    # Mean 20, deviation 4: 31 has z 2.75, 34 has z 3.5 and 6 has z -3.5.
+    readings = spark.createDataFrame([("Z", 31.0), ("Z", 34.0), ("Z", 6.0)], "company_id string, energy_kwh double")
+    baseline = spark.createDataFrame([("Z", 20.0, 4.0)], BASELINE)
+    rows = outliers.zscore_outliers(readings, baseline, ["company_id"], 3.0, 2.0).orderBy("z_score").collect()
+    assert [(r["z_score"], r["outlier_direction"]) for r in rows] == [(-3.5, "low"), (3.5, "high")]
+    assert [r["recommendation"] for r in rows] == ["technical_or_outage", "business_check"]
+    assert rows[1]["reason"] == "above the mean with z > 3"
 
 
 def test_directions_recommendations_and_null_paths(spark):
@@ -44,7 +44,7 @@ def test_threshold_is_strict_and_order_is_by_size(spark):
     baseline = spark.createDataFrame([("K", 10.0, 5.0)], BASELINE)
     found = outliers.zscore_outliers(readings, baseline, ["company_id"], 3.0, 50.0)
     assert [r["energy_kwh"] for r in outliers.most_extreme_first(found).collect()] == [-20.0, 26.0]
-    assert [r["energy_kwh"] for r in outliers.top_outliers(found, 1).collect()] == [-20.0]
+    assert [r["energy_kwh"] for r in outliers.top_outliers(found, 1, ["energy_kwh"]).collect()] == [-20.0]
 
 
 def test_peer_metrics(spark):

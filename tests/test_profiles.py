@@ -13,12 +13,13 @@ from meterlens.settings import Settings
 BASIC = "company_id string, energy_kwh double, is_peak_07_18 boolean, is_weekend boolean"
 
 
-def test_basic_metrics_literal(spark):
-    rows = [("K", 1.0, True, False), ("K", 3.0, True, False), ("K", 1.0, False, True), ("K", 1.0, False, True)]
+def test_basic_metrics_by_hand(spark):
+    # Peak hours 6, 10 and 8, off-peak 2 and 4; the hours of 8 and 4 lie on a weekend.
+    rows = [("Z", 6.0, True, False), ("Z", 10.0, True, False), ("Z", 8.0, True, True), ("Z", 2.0, False, False), ("Z", 4.0, False, True)]
     row = profiles.basic_metrics(spark.createDataFrame(rows, BASIC), ["company_id"]).first()
-    assert row["peak_offpeak_ratio"] == 2.0
-    assert row["weekday_weekend_ratio"] == 2.0
-    assert row["load_factor"] == 0.5
+    assert row["peak_offpeak_ratio"] == pytest.approx(8 / 3)
+    assert row["weekday_weekend_ratio"] == pytest.approx(1.0)
+    assert row["load_factor"] == pytest.approx(0.6)
 
 
 def test_basic_metrics_null_paths(spark):

@@ -316,3 +316,15 @@ def test_required_columns():
 
     with pytest.raises(ValueError, match="b"):
         audits.required_columns(Frame, ["a", "b"])
+
+
+def test_repeated_time_keys_are_rows_of_their_own(spark):
+    # Zeros at the hours 1, 2, 2 and 3, then a 7: one run of four rows, a span of five.
+    values = [(1, "0"), (2, "0"), (2, "0"), (3, "0"), (4, "7")]
+    wide = spark.createDataFrame(
+        [("S", 2026, 1, DAY, hour, 3, "A1", raw) for hour, raw in values],
+        "sheet string, PeriodYear int, PeriodMonth int, Date date, Hour int, WeekDay int, Tariff string, s1 string",
+    )
+    header = spark.createDataFrame([("S", "s1", "Company 1", "M1")], "sheet string, column string, company_id string, raw_header string")
+    row = by_meter(quality.series_quality(melt_sheets(wide, header, "prosumer"), TWO_DAYS))["M1"]
+    assert (row["maximum_zero_run_hours"], row["zero_run_events_48h_plus"], row["active_span_hours"]) == (4, 1, 5)
