@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterlens.llm import (
     decontamination,
     fixity,
+    oracles,
     packing,
     preferences,
     quality,
@@ -88,4 +89,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    """The other queries depend on hashes, tokenizers or a trained net; tests compare those with brute force."""
+    return {
+        "op3_decontamination": oracles.decontamination(),
+        "op7_preferences": oracles.preferences(),
+        "op9_fixity": oracles.fixity_audit(),
+        "op10_urls": oracles.url_verdicts(),
+    }
