@@ -316,20 +316,26 @@ def spans_by_hand(text):
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(found))
 
 
-@pytest.fixture(scope="module")
-def leaky(spark):
+def leaky_rows(n):
     rng = random.Random(2)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     upper = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQ23456789") for _ in range(n))
-    plain = ["thentherdishthon", "call +381 64 123456", "see page12.of.thebook", "v1.2.3-release", "établissementaires"]
+    word = lambda: "".join(rng.choice(("then", "er", "dis", "th", "on", "ly", "ü")) for _ in range(rng.randrange(2, 7)))
+    odd = lambda: f"{word()}{rng.randrange(100)}.{word()}-{rng.randrange(2000)}"
     rows = []
-    for i in range(400):
-        words = [rng.choice(plain) for _ in range(6)]
+    for i in range(n):
+        words = [rng.choice((word, word, odd))() for _ in range(8)]
         if i % 2:
             secret = rng.choice([f"password={hexes(18)}", f'token = "{hexes(40)}"', f"AKIA{upper(16)}", hexes(32), "Secret: abc"])
             words.insert(rng.randrange(6), secret)
         rows.append((i, " ".join(words), 40))
-    rows += [(400, None, None), (401, "", 0), (402, "secret=token: abcdefgh ſecret=abcdefgh", 30), (None, f"API_KEY:{hexes(6)}", 14), rows[1]]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def leaky(spark):
+    rows = leaky_rows(400)
+    rows += [(400, None, None), (401, "", 0), (402, "secret=token: abcdefgh ſecret=abcdefgh", 30), (None, f"API_KEY:{'0f' * 3}", 14), rows[1]]
     return spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
 
 
@@ -347,8 +353,9 @@ def test_secret_scan(spark, leaky, empty):
     assert [r.spans for r in secrets.scan(leaky.where("doc_id = 401"), None).collect()] == [""]
 
 
-def test_net_separates_held_out_findings(spark, leaky):
-    findings = secrets.labelled_findings(leaky, "text", 1000, 1000)
+def test_net_separates_held_out_findings(spark):
+    many = spark.createDataFrame(leaky_rows(3000), "doc_id long, text string, n_chars long")
+    findings = secrets.labelled_findings(many, "text", 10_000, 3000)
     net = secrets.train(findings[::2])
     rest = [f for f in findings[1::2] if f not in set(findings[::2])]
     scores = net.probability(net.logits(secrets.CharNet.codes([t for t, _ in rest]))) >= net.threshold
