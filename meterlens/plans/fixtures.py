@@ -36,8 +36,6 @@ HOURLY = Settings(
     zero_run_hours=20,
     extreme_multiple=5.0,
     minimum_weather_days=20,
-    k_max=4,
-    n_init=1,
 )
 # Shifted by one day against the rows, so that keys are missing at one end and extra at the other.
 SHIFTED = HOURLY.replace(start_date="2024-01-02", end_date="2024-01-31")

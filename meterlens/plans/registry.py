@@ -667,7 +667,8 @@ def kmeans_groups(spark, d):
 @query
 def silhouette_grid(spark, d):
     metrics = clusters.eligible_companies(_kept_metrics(spark, d), CLUSTER_FEATURES)
-    return clusters.scaler_sensitivity(spark, metrics, [2, 3], fx.YEARLY)
+    ks = clusters.k_values(metrics.count(), fx.YEARLY)
+    return clusters.scaler_sensitivity(spark, metrics, ks, fx.YEARLY)
 
 
 @query
