@@ -296,7 +296,7 @@ def sheet_checks(rows: DataFrame, series: DataFrame, settings: Settings) -> Data
 
 
 def timeline_issues(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Expected keys without a row (missing) and keys of rows outside the period, per sheet."""
+    """Expected keys without a row (missing) and keys of rows outside the period, by sheet and time."""
     present = rows.select("sheet", "date", "hour", "hour_text").distinct()
     expected = (
         rows.select("sheet")
@@ -306,9 +306,10 @@ def timeline_issues(rows: DataFrame, settings: Settings) -> DataFrame:
     )
     missing = expected.join(present.where(F.col("hour").isNotNull()), ["sheet", "date", "hour"], "left_anti")
     outside = present.where(~_in_period(settings))
-    return missing.select("sheet", "date", F.col("hour").cast("string").alias("hour"), F.lit("missing").alias("issue")).unionByName(
-        outside.select("sheet", "date", F.col("hour_text").alias("hour"), F.lit("out_of_period").alias("issue"))
-    )
+    found = missing.select(
+        "sheet", "date", F.col("hour").cast("string").alias("hour"), F.lit("missing").alias("issue")
+    ).unionByName(outside.select("sheet", "date", F.col("hour_text").alias("hour"), F.lit("out_of_period").alias("issue")))
+    return found.orderBy("sheet", "date", F.col("hour").try_cast("int"), "hour")
 
 
 def overlapping_series(series: DataFrame) -> DataFrame:

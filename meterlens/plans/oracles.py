@@ -1273,6 +1273,24 @@ r mean_holiday_effect_pct = mean_effect
         "company_metrics LEFT JOIN seasonal USING (company_id) LEFT JOIN heterogeneity USING (company_id) "
         "LEFT JOIN sense_company w USING (company_id) LEFT JOIN holiday_sum USING (company_id)",
     )
+    o["company_card_groups"] = _with(
+        ("company_metrics", "hourly"),
+        """
+SELECT company_id, ROUND(energy_total_kwh / 1000, 6) AS energy_total_mwh, meters AS meter_count,
+       CASE WHEN n % 3 > 0 THEN 'Group ' || n % 3 ELSE 'No group' END AS cluster_id,
+       CASE n % 3 WHEN 1 THEN 'Even profile' WHEN 2 THEN 'Day profile'
+            ELSE 'One or more metrics for grouping are missing' END AS cluster_description
+FROM company_metrics JOIN (
+  SELECT company_id, n, count(DISTINCT meter_id) FILTER (energy_flow = 'consumption_import') AS meters
+  FROM hourly GROUP BY ALL) USING (company_id)""",
+    )
+    o["company_lookup"] = _with(
+        ("hourly",),
+        "SELECT company_id, meter_id, energy_flow, CAST(interval_start AS VARCHAR) AS interval_start, "
+        "ROUND(energy_kwh, 6) AS energy_kwh, quality_status FROM hourly "
+        "WHERE company_id = 'Company 2' AND date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'",
+    )
+    o["company_list"] = _with(("daily_readings",), "SELECT DISTINCT company_id FROM daily_readings")
     o["date_bounds"] = _with(
         ("daily_readings",),
         "SELECT company_id, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date "

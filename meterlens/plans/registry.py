@@ -578,6 +578,42 @@ def company_card(spark, d):
     )
 
 
+@query
+def company_card_groups(spark, d):
+    """Cards with the groups of two companies in three; the others show the default texts."""
+    hourly = fx.hourly_readings(spark, d)
+    grouped = hourly.where(F.col("n") % 3 > 0).select("company_id", F.col("n") % 3).distinct()
+    groups = grouped.toDF("company_id", "k").select(
+        "company_id",
+        F.concat(F.lit("Cluster "), F.col("k").cast("string")).alias("cluster_id"),
+        F.when(F.col("k") == 1, "Even profile").otherwise("Day profile").alias("cluster_description"),
+    )
+    metrics = profiles.company_profile_metrics(
+        _company_hours(spark, d), profiles.basic_metrics(hourly, profiles.METER), fx.HOURLY
+    )
+    days = _company_daily(spark, d)
+    card = dashboard.company_card(
+        metrics,
+        _heterogeneity(hourly),
+        external.weather_sensitivity(days, ["company_id"], fx.HOURLY),
+        external.holiday_summary(external.holiday_effects(days), fx.HOURLY),
+        groups,
+    )
+    return card.select("company_id", "energy_total_mwh", "meter_count", "cluster_id", "cluster_description")
+
+
+@query
+def company_lookup(spark, d):
+    """One company's readings of a week; both filters reach the readings."""
+    week = dashboard.for_company(fx.hourly_readings(spark, d), "Company 2", "2024-01-08", "2024-01-14")
+    return week.select("company_id", "meter_id", "energy_flow", "interval_start", "energy_kwh", "quality_status")
+
+
+@query
+def company_list(spark, d):
+    return dashboard.company_list(_yearly_company_metrics(spark, d))
+
+
 @query
 def date_bounds(spark, d):
     return dashboard.date_bounds(fx.daily_readings(spark, d))

@@ -38,8 +38,9 @@ def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         digests = []
         for uri in batch.column("path").to_pylist():
-            # Hadoop writes local files as file:/path, Arrow expects file:///path.
-            system, location = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+            # Hadoop writes local files as file:/path and S3 ones as s3a://, Arrow expects file:///path and s3://.
+            plain = re.sub(r"^file:/(?!/)", "file:///", uri)
+            system, location = FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", plain))
             digest = hashlib.sha256()
             with system.open_input_stream(location) as stream:
                 while block := stream.read(_READ_BYTES):
