@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +14,9 @@ _LOOSE = (
     r"[\t\n\x0b\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |\x{1f}"
 )
 
+#: The end of a run of letters, before what is neither letter nor number. Empty matches split too.
+_PART_END = re.compile(r"(?<=[^\W\d_])(?=[\W_])")
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -22,31 +28,64 @@ class WordEncoder:
     """Byte-level BPE ids as the `tokenizers` library gives them.
 
     A byte-level pattern never joins a character that isn't white space with the space behind it, so a text can be
-    encoded word by word (the space leading) wherever spaces are single. Texts with a space behind other white space
-    take the library's whole-text path. Ids of words are kept; the store is emptied once it holds `max_words`.
+    encoded word by word (the space leading) wherever spaces are single. Nor does it join a letter with what isn't a
+    letter behind it, so words fall into parts, of which fewer differ. Texts with a space behind other white space, or
+    with the string of a special token, take the library's whole-text path. Ids of words and parts are kept; when the store
+    holds `max_words`, those that came in one batch only are dropped.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
-        self._empty()
-
-    def _empty(self) -> None:
-        self.slots: dict[str, int] = {}
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.loose = "|".join([_LOOSE, *special])
+        self.slots: dict[str, int] = {}  # in the order of their slots
         self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
+        self.counts = np.zeros(0, np.int32)
+        self.seen = np.zeros(0, np.int32)  # batches
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        base = len(self.ids)
+    def _shrink(self) -> None:
+        """Keep what came in two batches or more, at most half of the store: what came most often."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > self.max_words // 2:
+            keep = np.sort(keep[np.argsort(-self.seen[keep], kind="stable")[: self.max_words // 2]])
+        words, seen, counts = list(self.slots), self.seen[keep], self.counts[keep].astype(np.int64)
+        ids, _ = self._gather(keep)
+        self.slots, self.starts, self.counts, self.ids = {}, self.starts[:0], self.counts[:0], self.ids[:0]
+        self._append([words[k] for k in keep.tolist()], counts, ids)
+        self.seen = seen
+
+    def _append(self, words: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
         self.slots.update(zip(words, range(len(self.counts), len(self.counts) + len(words))))
-        self.starts = np.concatenate([self.starts, base + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, *found])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts, dtype=np.int64) - counts])
+        self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(counts), np.int32)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these slots in a row, and where each ends."""
+        counts = self.counts[slots]
+        ends = np.cumsum(counts, dtype=np.int64)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(self.starts[slots] - ends + counts, counts)
+        return self.ids[at], ends
+
+    def _learn(self, words: list[str]) -> None:
+        parts = [_PART_END.split(w) for w in words]
+        new = list({p for mine in parts for p in mine} - self.slots.keys())
+        for low in range(0, len(new), 10_000):
+            some = new[low : low + 10_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(found), np.uint32)
+            self._append(some, np.fromiter(map(len, found), np.int64, len(found)), ids)
+        made = [(w, mine) for w, mine in zip(words, parts) if len(mine) > 1]
+        if made:
+            ids, ends = self._gather(np.array([self.slots[p] for _, mine in made for p in mine]))
+            last = np.cumsum([len(mine) for _, mine in made]) - 1
+            self._append([w for w, _ in made], np.diff(ends[last], prepend=0), ids)
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number per text, for texts whose spaces are single."""
@@ -55,24 +94,20 @@ class WordEncoder:
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.slots) + len(words) > self.max_words:
-            self._empty()
+            self._shrink()
         new = [w for w in words if w not in self.slots]
         if new:
             self._learn(new)
         slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        if not len(slots):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        at = slots[np.asarray(coded.indices)]
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        ids = self.ids[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(ends[-1])]
+        self.seen[slots] += 1
+        ids, ends = self._gather(slots[np.asarray(coded.indices)])
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
         return ids, np.diff(edges)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and the number of ids of each text; null counts as empty."""
         texts = pc.fill_null(texts, "")
-        loose = np.asarray(pc.match_substring_regex(texts, _LOOSE))
+        loose = np.asarray(pc.match_substring_regex(texts, self.loose))
         if not loose.any():
             return self._words(texts)
         keep = pa.array(~loose)
@@ -93,4 +128,9 @@ class WordEncoder:
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same ids with the id `end` behind each text."""
-    return np.insert(ids, np.cumsum(counts), end).astype(np.uint32), counts + 1
+    out = np.empty(len(ids) + len(counts), np.uint32)
+    ends = np.cumsum(counts + 1) - 1
+    own = np.ones(len(out), bool)
+    own[ends] = False
+    out[own], out[ends] = ids, end
+    return out, counts + 1
