@@ -14,20 +14,22 @@ RANGE, FANOUT = 1 << 16, 16
 
 
 def warc_records(pages: DataFrame, *, id_col: str = "page_id", records_per_file: int = 1024) -> DataFrame:
-    """(file_id, record_id, url, payload): pages as response records, files by ranges of ids.
+    """(file_id, record_id, url, payload, content): pages as response records, files by ranges of ids.
 
-    Null urls and payloads count as empty. Pages without an id have no place in a file and are left out.
+    `content` tells records with the same id apart. Null urls and payloads count as empty. Pages without an id have no
+    place in a file and are left out.
     """
     return pages.where(F.col(id_col).isNotNull()).select(
         F.floor(F.col(id_col) / records_per_file).alias("file_id"),
         F.col(id_col).alias("record_id"),
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("html", F.lit("")).alias("payload"),
+        F.xxhash64("url", "html").alias("content"),
     )
 
 
 def digests(records: DataFrame) -> DataFrame:
-    """(file_id, record_id, length, hash) of the rendered records; payloads go no further than this."""
+    """(file_id, record_id, content, length, hash) of the rendered records; payloads go no further than this."""
     size = F.octet_length("payload")
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "),
@@ -39,16 +41,20 @@ def digests(records: DataFrame) -> DataFrame:
         F.lit("\r\n\r\n"),
     )
     return records.select(
-        "file_id", "record_id", F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("hash")
+        "file_id",
+        "record_id",
+        "content",
+        F.octet_length(record).cast("long").alias("length"),
+        F.sha2(record.cast("binary"), 256).alias("hash"),
     )
 
 
 def with_offsets(digest: DataFrame) -> DataFrame:
-    """The same with `offset`, the bytes of the file before the record; records lie by id, equal ids by hash.
+    """The same with `offset`, the bytes of the file before the record; records lie by id, equal ids by content.
 
     Files hold a bounded range of ids, so the window of one file is bounded.
     """
-    before = Window.partitionBy("file_id").orderBy("record_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file_id").orderBy("record_id", "content").rowsBetween(Window.unboundedPreceding, -1)
     return digest.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
@@ -138,6 +144,8 @@ def audit_pages(pages: DataFrame) -> DataFrame:
     """
     records = warc_records(pages)
     index = cut(with_offsets(digests(records)))
-    places = index.select("file_id", "record_id", "offset").distinct()
-    copies = digests(damaged_replica(records)).join(places, ["file_id", "record_id"])
+    same = ["file_id", "record_id", "content"]
+    nth = lambda c: F.row_number().over(Window.partitionBy(*same).orderBy(c)).alias("nth")
+    places = index.select(*same, "offset", nth("offset"))
+    copies = digests(damaged_replica(records)).select("*", nth("hash")).join(places, [*same, "nth"])
     return audit(index, copies)
