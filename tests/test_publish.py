@@ -190,3 +190,25 @@ def test_inputs_from_files(spark, tmp_path):
     assert (found["series_count"], found["physical_meter_count"], found["sheet_count"]) == ("3", "2", "2")
     assert {r["name"] for r in run.store.read("source_manifest").collect()} == {"Prosumer.csv", "Other.csv", "holidays.csv"}
     assert loaded.holiday_events.first()["holiday_name"] == "New Year"
+
+
+def test_kernels_reach_tasks_from_any_folder(sf_dir, tmp_path):
+    """A session started elsewhere, with the package on the driver's path only."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).resolve().parents[1])
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", entry.queries()["meter_heterogeneity"](spark, {sf_dir!r}).count())
+"""
+    import os
+
+    plain = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=plain, capture_output=True, text=True, timeout=300)
+    assert "rows " in done.stdout, done.stderr[-2000:]
