@@ -218,8 +218,8 @@ def test_melt_positions_and_columns(spark, wide, header):
     assert melted.count() == 28 * 2
     row = melted.where("date = DATE'2026-01-02' AND energy_flow = 'injection_export'").first()
     assert (row["company_id"], row["meter_id"], row["raw_value"]) == ("Company 1", "M1", "0")
-    # Distinct keys of the first day: 23 hours, hour 25 and the text hour.
-    assert row["row_position"] == 25
+    # Rows of the first day: 23 hours, one of them twice, hour 25 and the text hour.
+    assert row["row_position"] == 26
 
 
 def test_numeric_columns_lose_nan(spark, header):
