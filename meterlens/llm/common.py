@@ -57,6 +57,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 <
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

@@ -28,8 +28,8 @@ def packed_blocks(
     sequence_length: int = 2048,
     end_id: int = 50256,
     pad_id: int = 50256,
-    rows_per_block: int = 256,
-    buffer_ids: int = 4_000_000,
+    rows_per_block: int = 64,
+    buffer_ids: int = 2_000_000,
 ) -> DataFrame:
     """Blocks of up to `rows_per_block` packed sequences, lossless and ready to be mapped into memory.
 
