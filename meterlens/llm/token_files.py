@@ -14,7 +14,7 @@ from meterlens.llm.encoding import tokenizer_path, with_end
 from meterlens.llm.packing import PARTITION_SHIFT, best_fit_decreasing, cut_windows, encoder_of
 
 BLOCK = (
-    "block_id long, n_sequences int, sequence_length int, n_ids long, ids binary, cu_seqlens binary, positions binary, "
+    "block_id long, n_sequences int, sequence_length int, id_bytes int, n_ids long, ids binary, cu_seqlens binary, positions binary, "
     "segment_docs array<{id}>, segment_starts array<long>"
 )
 
@@ -33,7 +33,8 @@ def packed_blocks(
 ) -> DataFrame:
     """Blocks of up to `rows_per_block` packed sequences, lossless and ready to be mapped into memory.
 
-    `ids` is a row-major little-endian unsigned 32-bit matrix, padded with `pad_id`. `cu_seqlens` holds the cumulative
+    `ids` is a row-major little-endian matrix of unsigned numbers of `id_bytes` bytes (two where the vocabulary allows,
+    else four), padded with `pad_id`. `cu_seqlens` holds the cumulative
     ends of all segments of the flattened matrix from 0 on (signed 32-bit), one padding segment a row where a row isn't
     full. `positions` holds the flat positions where position ids start at 0 again: the segment starts. Segment
     i belongs to `segment_docs[i]` and begins there at `segment_starts[i]`; padding has a null document and start -1.
@@ -47,6 +48,8 @@ def packed_blocks(
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(state, tokenizer_path(tokenizer))
+        top = max(encoder.tokenizer.get_vocab_size() - 1, end_id, pad_id)
+        number = np.dtype("<u2" if top < 1 << 16 else "<u4")
         first = TaskContext.get().partitionId() << PARTITION_SHIFT
         made = 0
         keys: list[pa.Array] = []
@@ -66,7 +69,7 @@ def packed_blocks(
             for low in range(0, n_windows, rows_per_block):
                 mine = order[np.searchsorted(window[order], low) : np.searchsorted(window[order], low + rows_per_block)]
                 n = min(rows_per_block, n_windows - low)
-                matrix = np.full(n * sequence_length, pad_id, "<u4")
+                matrix = np.full(n * sequence_length, pad_id, number)
                 flat = (window[mine] - low) * sequence_length + offset[mine]
                 for f, b, w in zip(flat.tolist(), begin[mine].tolist(), length[mine].tolist()):
                     matrix[f : f + w] = ids[b : b + w]
@@ -85,6 +88,7 @@ def packed_blocks(
                         pa.array([first + made]),
                         pa.array([n], pa.int32()),
                         pa.array([sequence_length], pa.int32()),
+                        pa.array([number.itemsize], pa.int32()),
                         pa.array([int(length[mine].sum())]),
                         pa.array([matrix.tobytes()], pa.binary()),
                         pa.array([cu.astype("<i4").tobytes()], pa.binary()),
@@ -101,7 +105,7 @@ def packed_blocks(
             ids, counts = with_end(*encoder.encode(batch.column(text_col)), end_id)
             doc, start, length = cut_windows(counts, sequence_length)
             keys.append(batch.column(id_col).take(pa.array(doc)))
-            parts.append((start, length, ids))
+            parts.append((start, length, ids.astype(number)))
             held += len(ids)
             if held >= buffer_ids:
                 yield from blocks()
@@ -117,7 +121,7 @@ def write_blocks(blocks: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 def read_block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Id matrix, cumulative segment ends and position ids (same shape as the matrix) of one block."""
-    ids = np.frombuffer(row["ids"], "<u4").reshape(row["n_sequences"], row["sequence_length"])
+    ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").reshape(row["n_sequences"], row["sequence_length"])
     cu = np.frombuffer(row["cu_seqlens"], "<i4")
     starts = np.frombuffer(row["positions"], "<i4")
     positions = np.arange(ids.size) - np.repeat(starts, np.diff(cu))
