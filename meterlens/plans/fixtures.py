@@ -325,9 +325,9 @@ def inertia_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def period_weather_documents(spark: SparkSession) -> DataFrame:
+def period_weather_documents(spark: SparkSession, settings: Settings = RUN) -> DataFrame:
     """One parsed weather document with the hours and days of the run's period."""
-    temperatures = weather(spark, RUN)
+    temperatures = weather(spark, settings)
     one = F.lit(1).alias("one")
     hours = _parallel_arrays(
         temperatures.hourly.select("*", one),

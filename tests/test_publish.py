@@ -79,6 +79,10 @@ def test_source_manifest(spark, tmp_path, column_bytes):
         assert rows[name]["sha256"] == hashlib.sha256(content).hexdigest()
 
 
+# The year that the small sheets cover.
+RUN = fx.RUN.replace(start_date="1998-01-01", end_date="1998-12-31", k_max=3, n_init=1)
+
+
 @pytest.fixture(scope="module")
 def year(spark, tmp_path_factory):
     """A small year of four companies, three meters each, every second hour absent from the sheet."""
@@ -120,12 +124,12 @@ def dimensions(spark):
         "SELECT 'New Year' AS holiday_name, DATE'1998-01-01' AS holiday_date, DATE'1998-01-01' AS observed_date "
         "UNION ALL SELECT 'May Day', DATE'1998-05-01', DATE'1998-05-04'"
     )
-    return {"weather_documents": fx.year_weather_documents(spark), "holiday_events": events}
+    return {"weather_documents": fx.period_weather_documents(spark, RUN), "holiday_events": events}
 
 
 def test_whole_run(spark, tmp_path, year, dimensions):
     root = str(tmp_path)
-    run_id = run_all(spark, inputs(year, dimensions), fx.RUN, root)
+    run_id = run_all(spark, inputs(year, dimensions), RUN, root)
     assert current_run(spark, root) == run_id
     steps = step_history(spark, root).collect()
     assert len(steps) == 7 and all(r["status"] == "success" for r in steps)
@@ -162,7 +166,7 @@ def test_failed_audit_stops_publication(spark, tmp_path, year, dimensions, monke
         twice.unionByName(twice), header.where("sheet = 'Sheet 1'"), dimensions["weather_documents"], dimensions["holiday_events"]
     )
     with pytest.raises(AuditFailure, match="time_key_unique_in_sheet.*required_tables_present"):
-        run_all(spark, bad, fx.RUN, str(tmp_path))
+        run_all(spark, bad, RUN, str(tmp_path))
     assert current_run(spark, str(tmp_path)) is None
     last = step_history(spark, str(tmp_path)).orderBy(F.col("step").desc()).first()
     assert (last["name"], last["status"], last["error_type"]) == ("audits", "failed", "AuditFailure")
@@ -185,7 +189,7 @@ def test_inputs_from_files(spark, tmp_path):
         str(tmp_path / "holidays.csv"),
         str(tmp_path / "*.csv"),
     )
-    run = Analysis(spark, loaded, fx.RUN, str(tmp_path / "out"))
+    run = Analysis(spark, loaded, RUN, str(tmp_path / "out"))
     found = run.quality_step()
     assert (found["series_count"], found["physical_meter_count"], found["sheet_count"]) == ("3", "2", "2")
     assert {r["name"] for r in run.store.read("source_manifest").collect()} == {"Prosumer.csv", "Other.csv", "holidays.csv"}
