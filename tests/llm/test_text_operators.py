@@ -307,6 +307,36 @@ def test_quality_weights_by_hand(spark):
     assert max(counts) == pytest.approx(1000 * np.log((61 / 1119) / (61 / 1357)), abs=60)
 
 
+def test_quality_rejects_held_out_poor_and_toxic_documents(spark):
+    rng = random.Random(8)
+    some = lambda stem, n: [f"{stem}{rng.randrange(300)}" for _ in range(n)]
+    rows, labels = [], []
+    for i in range(900):
+        share = 0 if i % 3 == 0 else rng.randrange(40, 100)  # of words that trusted documents have not
+        words = some("fine", 100 - share) + some("poor" if i % 3 == 1 else "vile", share)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if i < 450:
+            labels.append((i, int(i % 3 != 1), int(i % 3 == 2)))
+    model = quality.fit(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    )
+    got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string"), model).where("doc_id >= 450")
+    kept = collections.defaultdict(list)
+    for r in got.collect():
+        kept[r.doc_id % 3].append(r.kept)
+    assert np.mean(kept[0]) > 0.98
+    assert np.mean(kept[1]) < 0.02 and np.mean(kept[2]) < 0.02
+
+
+def test_quality_labels_count_toxic_documents_as_poor(spark):
+    rows = [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 0, 1), (5, 1, 0), (5, 0, 0), (6, None, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.good for r in quality.trusted_labels(labels).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+
+
 def spans_by_hand(text):
     assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     found = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.I | re.A) if len(m[2]) >= 6]
