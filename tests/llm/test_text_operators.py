@@ -402,6 +402,44 @@ def test_candidates_by_hand():
         assert secrets.candidates(t) == want
 
 
+def test_secrets_that_no_pattern_knows_are_found(spark):
+    """Key formats that no base pattern matches, frequent in the sample itself, half of them held out of it."""
+    rng = random.Random(6)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda n, of=base62: "".join(rng.choice(of) for _ in range(n))
+    formats = (
+        lambda: f"ghp_{some(36)}",
+        lambda: f"sk_live_{some(24)}",
+        lambda: f"Bearer {some(20)}.{some(40)}.{some(30)}",
+        lambda: some(24, base62[:52]),  # no digit
+        lambda: some(10),
+    )
+    rows = []
+    for i, (_, text, _) in enumerate(leaky_rows(1500)):
+        made = formats[i % 5]()
+        rows.append((i, f"{text} jane.doe{i}@example.org {made} v1.2.{i} 2024-05-{i % 28 + 1:02d} end", made.split()[-1]))
+    net = secrets.fitted(spark.createDataFrame([(i, t) for i, t, _ in rows if i % 4 < 2], "doc_id long, text string"))
+    held = [r for r in rows if r[0] % 4 > 1]
+    found = collections.defaultdict(list)
+    plain = []
+    for (i, text, made), (base, every) in zip(held, secrets.all_spans([t for _, t, _ in held], net)):
+        at = text.index(made)
+        if not any(a < at + len(made) and at < b for a, _, b in base):
+            found[i % 5].append(any(k == 3 and a <= at and b >= at + len(made) for a, k, b in every))
+        low = text.index("jane.doe")
+        plain.append(any(k == 3 and low <= a < at - 7 or a > at + len(made) for a, k, _ in every))
+    # letters alone and ten characters are harder: they are candidates, and some are found
+    assert all(np.mean(found[k]) > 0.8 for k in range(3)) and all(any(found[k]) for k in (3, 4))
+    assert np.mean(plain) < 0.1
+
+
+def test_open_candidates_hold_values_without_digits_or_letters():
+    text = "kJhGfDsAqWeRtY 1234-5678-9012-3456-7890 aB3dE6gH plainwords getElementById 2024-05-01 report_v2.txt"
+    got = [text[a:b] for a, b in secrets.open_candidates(text)]
+    assert {"kJhGfDsAqWeRtY", "aB3dE6gH"} <= set(got)
+    assert not {"plainwords", "getElementById", "2024-05-01"} & set(got)
+
+
 def test_redaction(spark, leaky):
     out = {r.doc_id: r for r in secrets.redact(leaky, None, size_col="n_chars").where("doc_id is not null").collect()}
     assert secrets.redact(leaky, None).count() == leaky.count()
