@@ -433,6 +433,15 @@ def test_secrets_that_no_pattern_knows_are_found(spark):
     assert np.mean(plain) < 0.1
 
 
+def test_threshold_keeps_the_recall_of_poorly_separated_findings():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(1, 96, (2000, 76)), (rng.random(2000) < 0.05).astype(np.float32)
+    net = secrets.CharNet()
+    net.calibrate(x, y, 0.95)
+    kept = net.probability(net.logits(x)) >= net.threshold
+    assert kept[y > 0].mean() >= 0.95 and net.threshold < 0.5
+
+
 def test_open_candidates_hold_values_without_digits_or_letters():
     text = "kJhGfDsAqWeRtY 1234-5678-9012-3456-7890 aB3dE6gH plainwords getElementById 2024-05-01 report_v2.txt"
     got = [text[a:b] for a, b in secrets.open_candidates(text)]
