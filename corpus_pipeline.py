@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlens.llm import decontamination, near_copies, packing, quality, secrets
+from meterlens.llm import decontamination, packing, quality, secrets, simhash
 from meterlens.llm.common import cut, fresh
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies: five-word shingles, Jaccard 0.8 or more."""
-    return near_copies.one_per_group(docs)
+    """The document with the smallest id of every SimHash group: three-word shingles, links of at most two bits."""
+    return simhash.one_per_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
