@@ -59,21 +59,28 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray, block: int = 1 << 17)
     return out
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """doc_id and SimHash (long, its bits those of an unsigned number) of every row.
+def fingerprints(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, mark: Column | None = None
+) -> DataFrame:
+    """doc_id and SimHash (long, its bits those of an unsigned number) of every row, and the long `mark` if one is given.
 
     A-Z are lower-cased; words are runs without ASCII white space; shingles count as often as they occur; a text with
     fewer words is one shingle, one without words (or null) has fingerprint 0.
     """
     out = T.StructType([id_field(docs, id_col, "doc_id"), T.StructField("fp", T.LongType(), False)])
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if mark is not None:
+        read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), mark.alias("mark"))
+        out = out.add("mark", T.LongType(), False)
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text_col):
-            found = [np.array(_shingle_hashes(t, words_per_shingle), np.uint64) for t in texts_of(batch, text_col)]
+        for batch in text_slices(batches, "text"):
+            found = [np.array(_shingle_hashes(t, words_per_shingle), np.uint64) for t in texts_of(batch, "text")]
             bits = majority_bits(np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), pa.array(bits.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, out.names)
 
-    return docs.select(id_col, text_col).mapInArrow(compute, out)
+    return read.mapInArrow(compute, out)
 
 
 def _edges(segments: int) -> list[int]:
@@ -148,6 +155,17 @@ def near_links(prints: DataFrame, *, distance: int = 2, segments: int = 5, bucke
     return pairs.union(stars).distinct()
 
 
+def _named_groups(prints: DataFrame) -> DataFrame:
+    """(fp, component_id) of every different fingerprint of (doc_id, fp); the work on groups is done once for each."""
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = cut(components(near_links(classes.select("fp")), "a", "b"))
+    linked = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    )
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return linked.join(least, "root").select("fp", "component_id", "root")
+
+
 def near_groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3
 ) -> DataFrame:
@@ -159,14 +177,7 @@ def near_groups(
     done once per different fingerprint, so copies make no pairs.
     """
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words_per_shingle=words_per_shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = cut(components(near_links(classes.select("fp")), "a", "b"))
-    linked = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_named_groups(prints).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -175,15 +186,35 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return near_groups(docs, **options).select("doc_id", fp.alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group, equal rows once; all columns stay.
+def _content(docs: DataFrame) -> Column:
+    """A hash of a whole row; columns that hold a map, which has no hash, count by their JSON."""
+
+    def plain(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        return F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() else column
+
+    return F.xxhash64(*map(plain, docs.schema.fields))
 
-    Rows without an id can't be told apart from one another by it and stay.
+
+def one_per_group(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3
+) -> DataFrame:
+    """One row of `docs` for each group of `near_groups`, all columns: that with the smallest id.
+
+    A row without an id stays only where its whole group has none. Among rows of the same id the smallest hash of the
+    whole row decides, and equal rows stay once. Nothing but ids, fingerprints and that hash moves until the rows that
+    stay are known; the texts are joined with those once. No rows give no rows.
     """
-    keep = near_groups(docs, id_col=id_col, text_col=text_col).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col(id_col).isNotNull()).alias("d")
-    kept = named.join(keep.alias("k"), F.col(f"d.{id_col}") == F.col("k.doc_id"), "left_semi").select("d.*")
-    whole, nth = fresh(docs, "whole"), fresh(docs, "nth")
-    equal = Window.partitionBy(id_col, whole).orderBy(whole)  # the join has dealt the rows by id already
-    once = kept.withColumn(whole, F.xxhash64(*docs.columns)).withColumn(nth, F.row_number().over(equal))
-    return once.where(F.col(nth) == 1).drop(whole, nth).unionByName(docs.where(F.col(id_col).isNull()))
+    prints = cut(
+        fingerprints(docs, id_col=id_col, text_col=text_col, words_per_shingle=words_per_shingle, mark=_content(docs))
+    )
+    # Partial minima per fingerprint first, so a group of any size sends one row a task.
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("low"))
+    least = first.join(_named_groups(prints), "fp").groupBy("root").agg(F.min("low").alias("low"))
+    stay = least.select(F.col("low.doc_id").alias("stay_id"), F.col("low.mark").alias("stay_mark"))
+    mark, nth = fresh(docs, "whole_row"), fresh(docs, "nth")
+    marked = docs.withColumn(mark, _content(docs))
+    same = marked[id_col].eqNullSafe(stay["stay_id"]) & (marked[mark] == stay["stay_mark"])
+    equal = Window.partitionBy(id_col, mark).orderBy(mark)
+    kept = marked.join(stay, same, "left_semi").withColumn(nth, F.row_number().over(equal))
+    return kept.where(F.col(nth) == 1).drop(mark, nth)

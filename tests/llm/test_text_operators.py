@@ -213,16 +213,32 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert got == {i: 0 for i in range(101)} | {i: 1000 for i in range(1000, 1080)}
 
 
-def test_one_document_of_each_group_stays(spark, docs):
+def test_one_document_of_each_group_stays(spark, docs, empty):
     kept = simhash.one_per_group(docs)
     assert kept.columns == docs.columns
-    groups = simhash.near_duplicates(docs).where("doc_id is not null")
-    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == {
-        r.component_id for r in groups.collect()
-    }
-    assert kept.where("doc_id is null").count() == 2
-    ids = [r.doc_id for r in kept.where("doc_id is not null").collect()]
-    assert len(ids) == len(set(ids))
+    classes = classes_by_hand({simhash_by_hand(t) for _, t in pairs(docs)})
+    groups = collections.defaultdict(list)
+    for doc, text in pairs(docs):
+        groups[classes[simhash_by_hand(text)]].append((doc is None, doc or 0, text))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        min(rows) for rows in groups.values()
+    )
+    assert simhash.one_per_group(empty).count() == 0
+
+
+def test_one_per_group_with_tied_ids_maps_and_clashing_names(spark):
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [
+        (1, "a b c d", {"k": 1}, 1, 1), (1, "a b c d", {"k": 1}, 1, 1), (1, "a b c d", {"k": 2}, 1, 1),  # tied, one equal
+        (2, long, None, 0, 0), (1, long, {}, 0, 0),  # the id of another group
+        (None, "only null ids here", None, None, None), (None, "only null ids here", None, None, None),
+        (None, "a b c d", None, 0, 0), (9, "", None, 0, 0), (8, None, None, 0, 0), (7, " \n", {}, 0, 0),
+    ]
+    names = "doc_id long, text string, fp map<string, int>, mark int, whole_row int"
+    kept = simhash.one_per_group(spark.createDataFrame(rows, names)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(1, "a b c d"), (1, long), (None, "only null ids here"), (7, " \n")], key=str
+    )
 
 
 def shingle_set(text):
