@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from meterlens.llm import (
     decontamination,
     fixity,
+    mixing,
     oracles,
     packing,
+    periodic_runs,
     preferences,
     quality,
     secrets,
     simhash,
+    token_alignment,
     token_counts,
     token_files,
     urls,
@@ -73,6 +76,19 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(_table(spark, sf_dir, "pages"), labels)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_repeated_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(docs))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_figures(_table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).documents
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_packing,
@@ -85,6 +101,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_fixity,
         op10_urls,
+        op11_runs,
+        op12_alignment,
+        op13_mixing,
     )}
 
 
