@@ -37,6 +37,40 @@ REQUIRED_TABLES = (
     "hourly_enriched",
     "company_clusters",
 )
+# The sheets of each report; all of them are required as well.
+REPORTS = {
+    "quality": ("quality_summary", "sheet_checks", "meter_quality", "zero_runs", "value_anomalies", "timeline_issues"),
+    "long_table": ("long_table_summary", "long_table_by_sheet"),
+    "profiles": ("profiles_summary", "meter_metrics", "company_metrics", "meter_heterogeneity"),
+    "outliers": (
+        "outliers_summary",
+        "meter_outlier_summary",
+        "company_outlier_summary",
+        "meter_hourly_detail",
+        "company_hourly_detail",
+        "metric_outliers",
+    ),
+    "weather": ("weather_summary", "weather_daily", "holidays_in_period", "weather_source"),
+    "weather_and_holidays": (
+        "enrichment_summary",
+        "weather_and_holidays_summary",
+        "company_weather",
+        "meter_weather",
+        "holiday_summary",
+        "holiday_detail",
+        "company_outliers_enriched",
+    ),
+    "company_groups": (
+        "company_groups_summary",
+        "company_clusters",
+        "cluster_centers",
+        "cluster_evaluation",
+        "scaler_sensitivity",
+        "feature_scaling",
+        "excluded_companies",
+    ),
+}
+REQUIRED_REPORTS = tuple(sheet for sheets in REPORTS.values() for sheet in sheets)
 
 
 class AuditFailure(RuntimeError):
@@ -112,6 +146,11 @@ class Analysis:
         self.store.write_report(rows.coalesce(1), f"{name}_summary")
         return found
 
+    def _report(self, **sheets: DataFrame) -> None:
+        """Stored tables as sheets of a report."""
+        for name, table in sheets.items():
+            self.store.write_report(table, name)
+
     def quality_step(self) -> Mapping[str, Any]:
         s, store = self.settings, self.store
         if self.inputs.source_path is not None:
@@ -130,7 +169,14 @@ class Analysis:
         anomalies = store.write(
             quality.value_anomalies(self.cells, self.quality, s.extreme_multiple), "value_anomalies"
         )
-        store.write(quality.zero_runs(self.cells, self.rows, s.zero_run_hours), "zero_runs")
+        zeros = store.write(quality.zero_runs(self.cells, self.rows, s.zero_run_hours), "zero_runs")
+        self._report(
+            sheet_checks=checks,
+            meter_quality=self.quality,
+            zero_runs=zeros,
+            value_anomalies=anomalies,
+            timeline_issues=timeline,
+        )
         self._audits += audits.header_audits(self.series, s.prosumer_sheet_match)
         self._audits.append(audits.lookup_audit(self.cells, self.quality, quality.SERIES))
         return self._summarise(summaries.quality_summary(self.quality, checks, timeline, anomalies), "quality")
@@ -144,6 +190,7 @@ class Analysis:
             sort_by=["company_id", "meter_id", "energy_flow", "interval_start"],
         )
         validation = self.store.write(ingest.long_validation(self.long), "long_validation")
+        self._report(long_table_by_sheet=validation.where("sheet IS NOT NULL"))
         self._audits += audits.long_audits(self.rows, self.series, self.quality, self.long)
         self._audits.append(audits.written_rows_audit(self.cells, self.long, "written_rows_equal_produced"))
         return self._summarise(summaries.long_summary(validation), "long_table")
@@ -164,6 +211,7 @@ class Analysis:
         heterogeneity = store.write(
             similarity.meter_heterogeneity(self.meter_metrics, meter_hours, s), "company_meter_heterogeneity"
         )
+        self._report(meter_metrics=self.meter_metrics, company_metrics=self.company_metrics, meter_heterogeneity=heterogeneity)
         self._audits.append(
             audits.key_unique_audit(self.meter_metrics, profiles.METER, "meter_metrics_key_unique")
         )
@@ -204,8 +252,11 @@ class Analysis:
         peers = store.write(
             outliers.peer_metric_outliers(self.company_metrics, s.peer_zscore), "company_metric_outliers"
         )
-        store.write(outliers.outlier_summary(self.meter_outliers, profiles.METER), "meter_outlier_summary")
-        store.write(outliers.outlier_summary(self.company_outliers, profiles.COMPANY), "company_outlier_summary")
+        of_meters = store.write(outliers.outlier_summary(self.meter_outliers, profiles.METER), "meter_outlier_summary")
+        of_companies = store.write(
+            outliers.outlier_summary(self.company_outliers, profiles.COMPANY), "company_outlier_summary"
+        )
+        self._report(meter_outlier_summary=of_meters, company_outlier_summary=of_companies, metric_outliers=peers)
         for table, keys, name in (
             (self.meter_outliers, profiles.METER, "meter_hourly_detail"),
             (self.company_outliers, profiles.COMPANY, "company_hourly_detail"),
@@ -227,6 +278,7 @@ class Analysis:
             external.holiday_calendar(self.spark, self.inputs.holiday_events, s), "holiday_calendar"
         )
         store.write_json(document_metadata(documents), "weather_source")
+        self._report(weather_daily=daily, holidays_in_period=calendar.where("is_holiday_or_day_off"))
         self._audits += audits.weather_audits(weather, s)
         enriched = store.write(
             external.enrich_hourly(self.long, weather, calendar),
@@ -249,6 +301,13 @@ class Analysis:
             external.outlier_context(self.company_outliers, weather, calendar, s),
             "company_hourly_outliers_enriched",
         )
+        self._report(
+            company_weather=company_sense,
+            meter_weather=meter_sense,
+            holiday_summary=holidays,
+            holiday_detail=effects,
+            company_outliers_enriched=context,
+        )
         found = dict(self._summarise(summaries.weather_summary(weather, daily, calendar, s), "weather"))
         found |= self._summarise(
             summaries.metric_table(summaries.enrichment_summary(enriched)), "enrichment"
@@ -263,21 +322,25 @@ class Analysis:
 
     def cluster_step(self) -> Mapping[str, Any]:
         groups = clusters.company_clusters(self.spark, self.company_metrics, self.settings)
-        for name, table in (
-            ("company_clusters", groups.assignments),
-            ("cluster_centers", groups.centers),
-            ("cluster_evaluation", groups.evaluation),
-            ("cluster_scaler_sensitivity", groups.scaler_sensitivity),
-            ("cluster_excluded_companies", groups.excluded),
-            ("cluster_feature_stats", groups.feature_stats),
-        ):
-            self.store.write(table, name)
+        sheets = {
+            "company_clusters": (groups.assignments, "company_clusters"),
+            "cluster_centers": (groups.centers, "cluster_centers"),
+            "cluster_evaluation": (groups.evaluation, "cluster_evaluation"),
+            "cluster_scaler_sensitivity": (groups.scaler_sensitivity, "scaler_sensitivity"),
+            "cluster_feature_stats": (groups.feature_stats, "feature_scaling"),
+            "cluster_excluded_companies": (groups.excluded, "excluded_companies"),
+        }
+        for name, (table, sheet) in sheets.items():
+            self._report(**{sheet: self.store.write(table, name)})
         return self._summarise(summaries.metric_table(groups.summary), "company_groups")
 
     def audit_step(self) -> Mapping[str, Any]:
         names = lambda values: self.spark.createDataFrame([(v,) for v in values], "name string")
-        required = audits.required_audit(names(REQUIRED_TABLES), names(self.store.tables))
-        results = self.store.write(audits.combine([*self._audits, required]), "audits")
+        required = [
+            audits.required_audit(names(REQUIRED_TABLES), names(self.store.tables)),
+            audits.required_audit(names(REQUIRED_REPORTS), names(self.store.reports), "required_reports_present"),
+        ]
+        results = self.store.write(audits.combine([*self._audits, *required]), "audits")
         failed = audits.failures(results)
         if failed:
             raise AuditFailure(f"audits failed: {failed}")

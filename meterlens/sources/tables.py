@@ -29,42 +29,65 @@ def read_table(
     return table.select(*columns) if columns else table
 
 
-# Files up to this size are hashed from a binary column; Spark cannot hold more than 2 GB in one value.
-_COLUMN_BYTES = 1 << 30
-_READ_BYTES = 8 << 20
-
-
-def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = []
-        for uri in batch.column("path").to_pylist():
-            # Hadoop writes local files as file:/path and S3 ones as s3a://, Arrow expects file:///path and s3://.
-            plain = re.sub(r"^file:/(?!/)", "file:///", uri)
-            system, location = FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", plain))
-            digest = hashlib.sha256()
-            with system.open_input_stream(location) as stream:
-                while block := stream.read(_READ_BYTES):
-                    digest.update(block)
-            digests.append(digest.hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("path"), pa.array(digests, pa.string())], names=["path", "sha256"]
-        )
-
-
-def source_manifest(spark: SparkSession, path: str, column_bytes: int = _COLUMN_BYTES) -> DataFrame:
+_BLOCK_BYTES = 8 << 20
+
+
+def _store_options(spark: SparkSession) -> dict[str, str]:
+    """The settings of the object stores that Spark itself reads with, for the same access from within a task."""
+    names = {
+        "fs.s3a.access.key": "access_key",
+        "fs.s3a.secret.key": "secret_key",
+        "fs.s3a.session.token": "session_token",
+        "fs.s3a.endpoint": "endpoint_override",
+        "fs.s3a.endpoint.region": "region",
+    }
+    conf = spark._jsc.hadoopConfiguration()
+    return {option: value for name, option in names.items() if (value := conf.get(name))}
+
+
+def open_stream(uri: str, s3_options: Mapping[str, str]):
+    """A file as a stream of bytes, by the address that Hadoop knows it under."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3", "s3a", "s3n"):
+        from pyarrow.fs import S3FileSystem
+
+        return S3FileSystem(**s3_options).open_input_stream(rest.lstrip("/"))
+    # Hadoop writes local files as file:/path, Arrow expects file:///path.
+    system, location = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+    return system.open_input_stream(location)
+
+
+def sha256_of(stream, block_bytes: int = _BLOCK_BYTES) -> str:
+    """SHA-256 of a stream, read into one buffer again and again."""
+    digest, buffer = hashlib.sha256(), bytearray(block_bytes)
+    view = memoryview(buffer)
+    while size := stream.readinto(buffer):
+        digest.update(view[:size])
+    return digest.hexdigest()
+
+
+def source_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per source file: name, path, size, modification time and SHA-256 of its content.
 
-    Files are hashed in parallel. A digest is sequential by definition, so a file is the unit of
-    work; larger files are streamed through the digest in small blocks and never held whole.
+    Files are hashed in parallel, each in one task, since the digest is sequential by definition. A file of any size goes
+    the same way: its bytes pass through one buffer of a few megabytes. Spark lists the files, leaving out empty ones, and
+    deals them out by size.
     """
-    files = spark.read.format("binaryFile").load(path)
-    size = F.col("length")
-    small = files.where(size <= column_bytes).select("path", F.sha2("content", 256).alias("sha256"))
-    large = files.where(size > column_bytes).select("path").mapInArrow(_stream_digests, "path string, sha256 string")
-    listing = files.select(
-        "path", size.alias("size_bytes"), F.col("modificationTime").alias("modified_at")
-    )
-    return (
-        listing.join(small.unionByName(large), "path")
-        .select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "size_bytes", "modified_at", "sha256")
+    options = _store_options(spark)
+    columns = ["name", "path", "size_bytes", "modified_at", "sha256"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for uri in batch.column("path").to_pylist():
+                with open_stream(uri, options) as stream:
+                    digests.append(sha256_of(stream))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=columns)
+
+    files = spark.read.format("binaryFile").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        "path",
+        F.col("length").alias("size_bytes"),
+        F.col("modificationTime").alias("modified_at"),
     )
+    return files.mapInArrow(hashed, T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())]))

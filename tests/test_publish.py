@@ -1,15 +1,20 @@
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from meterlens.operators import dashboard
 from meterlens.plans import fixtures as fx
-from meterlens.plans.analysis import Analysis, AuditFailure, Inputs, run_all
+from meterlens.plans.analysis import REQUIRED_REPORTS, Analysis, AuditFailure, Inputs, run_all
+from meterlens.sinks import store as store_module
+from meterlens.sinks.commits import CommitLog
 from meterlens.sinks.store import RunLog, RunStore, current_run, current_table, run_history, step_history
-from meterlens.sources.tables import read_table, source_manifest
+from meterlens.sources.tables import read_table, sha256_of, source_manifest
 
 
 def write_run(spark, root, value, fail=False):
@@ -67,18 +72,92 @@ def test_tables_are_written_once(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in found._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("column_bytes", [1 << 30, 8])
-def test_source_manifest(spark, tmp_path, column_bytes):
+def test_source_manifest(spark, tmp_path):
     contents = {"a.bin": b"source", "b.bin": b"a longer source" * 1000}
     for name, content in contents.items():
         (tmp_path / name).write_bytes(content)
-    rows = {r["name"]: r for r in source_manifest(spark, str(tmp_path / "*.bin"), column_bytes).collect()}
+    with open(tmp_path / "large.bin", "wb") as large:  # above what Spark holds in one value; takes no room on the disk
+        large.truncate(2_500_000_000)
+    rows = {r["name"]: r for r in source_manifest(spark, str(tmp_path / "*.bin")).collect()}
+    zeros = hashlib.sha256()
+    for _ in range(2500):
+        zeros.update(bytes(1_000_000))
+    assert rows.pop("large.bin")["sha256"] == zeros.hexdigest()
     assert set(rows) == set(contents)
     for name, content in contents.items():
         assert rows[name]["size_bytes"] == len(content)
         assert rows[name]["sha256"] == hashlib.sha256(content).hexdigest()
 
 
+def test_a_digest_holds_one_block():
+    class Stream:
+        """Hands out whole blocks and remembers the buffers that it filled."""
+
+        def __init__(self, content):
+            self.content, self.buffers = content, set()
+
+        def readinto(self, buffer):
+            part, self.content = self.content[: len(buffer)], self.content[len(buffer) :]
+            buffer[: len(part)] = part
+            self.buffers.add((id(buffer), len(buffer)))
+            return len(part)
+
+    content = bytes(range(256)) * 100 + b"end"
+    stream = Stream(content)
+    assert sha256_of(stream, block_bytes=1000) == hashlib.sha256(content).hexdigest()
+    assert [size for _, size in stream.buffers] == [1000]
+
+
+def test_numbers_are_claimed_once(spark, tmp_path):
+    """Eight writers at a time: numbers without a gap, every entry whole and under its own number."""
+    log = CommitLog(spark, str(tmp_path / "log"))
+    assert log.last() == 0 and log.read("writer int") is None
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda i: CommitLog(spark, str(tmp_path / "log")).append({"writer": i}), range(40)))
+    assert sorted(numbers) == list(range(1, 41)) and log.last() == 40
+    assert {(r["number"], r["writer"]) for r in log.read("writer int").collect()} == set(zip(numbers, range(40)))
+
+
+def test_renames_refuse_to_overwrite(spark, tmp_path):
+    """The way of other file systems than the local one."""
+    log = CommitLog(spark, str(tmp_path / "log"))
+    log._local = False
+    assert [log.append({"v": v}) for v in (7, 8)] == [1, 2]
+    log.last = lambda: 0  # as a writer sees it that looked before the others claimed theirs
+    assert log.append({"v": 9}) == 3
+    assert sorted((r["number"], r["v"]) for r in log.read("v int").collect()) == [(1, 7), (2, 8), (3, 9)]
+    assert not [n for n in os.listdir(tmp_path / "log") if n.startswith("_")]
+
+
+def test_an_older_run_never_becomes_current(spark, tmp_path, monkeypatch):
+    """Two runs end together, the older one last, and clocks go back in between."""
+    root = str(tmp_path)
+    clock = iter(dt.datetime(2030, 1, 1, tzinfo=dt.timezone.utc) - dt.timedelta(days=k) for k in range(100))
+    monkeypatch.setattr(store_module, "_now", lambda: next(clock))
+    stores = [RunStore(spark, root, name) for name in ("older", "newer")]
+    logs = [RunLog(store) for store in stores]
+    for value, store in enumerate(stores):
+        store.write(spark.createDataFrame([(value,)], "v int"), "answer")
+    logs[1].finish()
+    assert current_run(spark, root) == "newer"
+    logs[0].finish()
+    assert current_run(spark, root) == "newer"
+    assert current_table(spark, root, "answer").first()["v"] == 1
+    history = run_history(spark, root).orderBy("number").collect()
+    assert [(r["run_id"], r["run_number"], r["number"]) for r in history] == [("newer", 2, 3), ("older", 1, 4)]
+    # A run that starts now is newer than both, however early its clock.
+    last = RunLog(RunStore(spark, root, "last"))
+    last.finish()
+    assert current_run(spark, root) == "last"
+
+
+def test_reports_hold_nested_columns_as_json(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    store.write_report(spark.sql("SELECT 1 AS a, array(1, 2) AS b, named_struct('x', 'y') AS c"), "nested")
+    row = spark.read.option("header", True).option("escape", '"').csv(store.report_path("nested")).first()
+    assert (row["a"], row["b"]) == ("1", "[1,2]") and store.reports == ["nested"]
+
+
 # The year that the small sheets cover.
 RUN = fx.RUN.replace(start_date="1998-01-01", end_date="1998-12-31", k_max=3, n_init=1)
 
@@ -139,6 +218,9 @@ def test_whole_run(spark, tmp_path, year, dimensions):
     assert current_table(spark, root, "company_clusters").count() == 5
     assert current_table(spark, root, "meter_profile_metrics").count() == 15
     assert current_table(spark, root, "audits").where("NOT passed").count() == 0
+    assert set(run_history(spark, root).first()["reports"]) == set(REQUIRED_REPORTS)
+    for name, rows in (("meter_metrics", 15), ("company_clusters", 5), ("holidays_in_period", 3), ("sheet_checks", 5)):
+        assert spark.read.option("header", True).csv(f"{root}/reports/{run_id}/{name}").count() == rows
     summary = spark.read.option("header", True).csv(f"{root}/reports/{run_id}/profiles_summary")
     assert {r["metric"]: r["value"] for r in summary.collect()}["meter_energy_series"] == "15"
     card = dashboard.company_card(
@@ -165,7 +247,7 @@ def test_failed_audit_stops_publication(spark, tmp_path, year, dimensions, monke
     bad = Inputs(
         twice.unionByName(twice), header.where("sheet = 'Sheet 1'"), dimensions["weather_documents"], dimensions["holiday_events"]
     )
-    with pytest.raises(AuditFailure, match="time_key_unique_in_sheet.*required_tables_present"):
+    with pytest.raises(AuditFailure, match="time_key_unique_in_sheet.*required_tables_present.*required_reports_present"):
         run_all(spark, bad, RUN, str(tmp_path))
     assert current_run(spark, str(tmp_path)) is None
     last = step_history(spark, str(tmp_path)).orderBy(F.col("step").desc()).first()
