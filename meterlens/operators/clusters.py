@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from meterlens.functions.stats import exact_quantiles
 from meterlens.functions.tiles import BLOCK_ROWS, TILE, into_tiles
 from meterlens.operators.audits import required_columns
+from meterlens.operators.kmeans import KMeansFit, multi_start_kmeans
 from meterlens.settings import Settings
 
 SCALERS = ("standard", "minmax", "robust")
@@ -110,111 +111,6 @@ def k_values(companies: int, settings: Settings) -> list[int]:
     return list(range(max(2, settings.k_min), min(settings.k_max, companies - 1) + 1))
 
 
-@dataclass
-class KMeansFit:
-    """Centers in scaled units and the summed squared distance of all rows to their nearest center."""
-
-    centers: np.ndarray
-    cost: float
-
-
-def _starts(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ starting centers out of the given rows."""
-    rng = np.random.default_rng(seed)
-    chosen = [rows[rng.integers(len(rows))]]
-    gap = ((rows - chosen[0]) ** 2).sum(1)
-    while len(chosen) < k:
-        share = gap / gap.sum() if gap.sum() > 0 else None
-        chosen.append(rows[rng.choice(len(rows), p=share)])
-        gap = np.minimum(gap, ((rows - chosen[-1]) ** 2).sum(1))
-    return np.array(chosen)
-
-
-def _lloyd_pass(points: DataFrame, features: Sequence[str], runs: Sequence[tuple]) -> dict[tuple[int, int], tuple]:
-    """Rows, cost and sums of the members of every cluster of every run (offset, scale, centers), in one job.
-
-    A task sums up its own rows; what meets in the shuffle is one row per cluster, run and task.
-    """
-    shared = points.sparkSession.sparkContext.broadcast(list(runs))
-    sums = [f"s{i}" for i in range(len(features))]
-
-    def one_pass(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features])
-            for low in range(0, len(x), _CHUNK):
-                for number, (offset, scale, centers) in enumerate(shared.value):
-                    z = (x[low : low + _CHUNK] - offset) / scale
-                    gaps = ((z[:, None, :] - centers[None]) ** 2).sum(2)
-                    label = gaps.argmin(1)
-                    cost = gaps[np.arange(len(z)), label]
-                    for cluster in np.unique(label).tolist():
-                        mine = label == cluster
-                        figures = np.array([mine.sum(), cost[mine].sum(), *z[mine].sum(0)])
-                        key = (number, cluster)
-                        total[key] = total[key] + figures if key in total else figures
-        if total:
-            table = np.array(list(total.values()))
-            keys = np.array(list(total), np.int32)
-            columns = [*map(pa.array, keys.T), *[pa.array(c) for c in table.T]]
-            yield pa.RecordBatch.from_arrays(columns, ["run", "cluster", "n", "cost", *sums])
-
-    schema = "run int, cluster int, " + ", ".join(f"{c} double" for c in ("n", "cost", *sums))
-    found = points.select(*features).mapInArrow(one_pass, schema).groupBy("run", "cluster")
-    rows = found.agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)]).collect()
-    return {(r["run"], r["cluster"]): (r["n"], r["cost"], np.array([r[c] for c in sums])) for r in rows}
-
-
-def multi_start_kmeans(
-    points: DataFrame,
-    features: Sequence[str],
-    scalings: Mapping[str, Scaling],
-    ks: Sequence[int],
-    settings: Settings,
-    start_rows: int = 4096,
-    most_passes: int = 300,
-    tolerance: float = 1e-4,
-) -> dict[tuple[str, int], KMeansFit]:
-    """The cheapest of ``n_init`` k-means runs for every scaling and k, all runs sharing each pass over the rows.
-
-    ``points`` has the features in their own units. Runs start from k-means++ over ``start_rows`` rows, those with the
-    lowest hash, with consecutive seeds. A run ends when no center moves further than ``tolerance``; jobs are as many as
-    the slowest run has passes. A center that loses all members stays where it is.
-    """
-    raw = points.select(*[F.col(f).cast("double").alias(f) for f in features])
-    sample = raw.orderBy(F.xxhash64(*features), *features).limit(start_rows).collect()
-    rows = np.array([[r[f] for f in features] for r in sample])
-    runs, owners = [], []
-    for name, scaling in scalings.items():
-        offset = np.array([scaling.offset[f] for f in features])
-        scale = np.array([scaling.scale[f] for f in features])
-        for k in ks:
-            for start in range(settings.n_init):
-                runs.append((offset, scale, _starts((rows - offset) / scale, k, settings.seed + start)))
-                owners.append((name, k))
-    costs = [float("inf")] * len(runs)
-    open_runs = list(range(len(runs)))
-    for _ in range(most_passes):
-        found = _lloyd_pass(raw, features, [runs[i] for i in open_runs])
-        still = []
-        for place, i in enumerate(open_runs):
-            offset, scale, centers = runs[i]
-            mine = {c: found[place, c] for c in range(len(centers)) if (place, c) in found}
-            costs[i] = sum(cost for _, cost, _ in mine.values())
-            moved = np.array([mine[c][2] / mine[c][0] if c in mine else centers[c] for c in range(len(centers))])
-            if np.sqrt(((moved - centers) ** 2).sum(1)).max() > tolerance:
-                still.append(i)
-                runs[i] = (offset, scale, moved)
-        open_runs = still
-        if not open_runs:
-            break
-    best: dict[tuple[str, int], KMeansFit] = {}
-    for owner, (_, _, centers), cost in zip(owners, runs, costs):
-        if owner not in best or cost < best[owner].cost:
-            best[owner] = KMeansFit(centers, cost)
-    return best
-
-
 def label_column(k: int) -> str:
     return f"label_{k}"
 
@@ -446,7 +342,7 @@ def _grids(
     """Per scaler its scaling, and for every k the best fit, silhouette and sizes."""
     kept = eligible.select("company_id", *settings.features).persist()
     scalings = {s: fit_scaling(kept, settings.features, s) for s in scalers}
-    fits = multi_start_kmeans(kept, settings.features, scalings, ks, settings)
+    fits = multi_start_kmeans(kept, settings.features, scalings, ks, settings.n_init, settings.seed)
     out = {}
     for scaler, scaling in scalings.items():
         models = {k: fits[scaler, k] for k in ks}
