@@ -1,4 +1,4 @@
-"""Joins and blockings that hold when one key owns a large share of the rows."""
+"""Joins that hold when one key owns a large share of the rows."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: Rows of one key that a task takes without being helped.
+ROWS_PER_SALT = 1 << 20
+#: Stored bytes below which no key can be too much for a task.
+SMALL_INPUT = 64 << 20
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]):
@@ -23,19 +26,43 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that a plan reads, as Spark knows them without reading."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def hot_keys(fact: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """(keys, _salts): the keys with more than `rows_per_salt` rows, each with the number of parts that its rows need.
+
+    Counts are summed in the tasks first, so a hot key is one row a task. At most four times as many keys are kept as
+    there are shuffle partitions, the hottest: one beyond these holds less than a quarter of a partition's share.
+    """
+    tasks = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = fact.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_salt)
+    salts = F.least(F.lit(tasks), F.ceil(F.col("_n") / rows_per_salt)).cast("int")
+    return counts.orderBy(F.col("_n").desc()).limit(4 * tasks).select(*keys, salts.alias("_salts"))
+
+
 def salted_lookup(
     fact: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    rows_per_salt: int = ROWS_PER_SALT,
+    small_input: int = SMALL_INPUT,
 ) -> DataFrame:
-    """Attach a one-row-per-key table to a fact table whose keys may be heavily skewed.
+    """Attach a one-row-per-key table to a fact table whose keys may be heavily skewed; NULL keys match each other.
 
-    Each fact row takes a salt from a hash of its own content and the lookup is repeated once
-    per salt, so a hot key is spread over ``salts`` tasks. Spark still switches to a broadcast
-    when the measured size of the lookup allows it.
+    The rows of a hot key are dealt to as many salts as its share asks for, by a hash of their content, and its lookup row
+    is repeated once per salt; nothing else is copied. The hot keys reach the rows by a broadcast of a few rows per
+    shuffle partition at most. Spark still broadcasts the lookup instead when its measured size allows.
     """
-    spread = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if stored_bytes(fact) <= small_input:
+        return join_null_safe(fact, lookup, keys, how)
+    hot = F.broadcast(hot_keys(fact, keys, rows_per_salt))
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*fact.columns), F.col("_salts")).cast("int"))
+    spread = join_null_safe(fact, hot, keys).withColumn("_salt", salt).drop("_salts")
+    parts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    repeated = join_null_safe(lookup, hot, keys).withColumn("_salt", F.explode(parts)).drop("_salts")
     return join_null_safe(spread, repeated, [*keys, "_salt"], how).drop("_salt")

@@ -56,36 +56,52 @@ def weather_hourly(hourly: DataFrame, daily: DataFrame, settings: Settings, keys
 def holiday_calendar(spark: SparkSession, events: DataFrame, settings: Settings) -> DataFrame:
     """One row per day of the analysis period with holiday flags and names.
 
-    The previous/next-day window runs over the days of the period only.
+    Both dates of an event, and the days around them, become one table by day that is aggregated and joined once. A
+    date outside the period marks no day next to it.
     """
-
-    def per_date(column: str, flag: str, name: str) -> DataFrame:
-        return (
-            events.where(F.col(column).isNotNull())
-            .select(F.col(column).alias("date"), "holiday_name")
-            .distinct()
-            .groupBy("date")
-            .agg(F.lit(True).alias(flag), joined_names(F.col("holiday_name")).alias(name))
+    official, observed, here = F.col("official"), ~F.col("official"), F.col("offset") == 0
+    dates = F.array(
+        F.struct(F.col("holiday_date").alias("day"), F.lit(True).alias("official")),
+        F.struct(F.col("observed_date").alias("day"), F.lit(False).alias("official")),
+    )
+    day = F.col("day").between(F.lit(settings.start_date).cast("date"), F.lit(settings.end_date).cast("date"))
+    marks = (
+        events.select("holiday_name", F.inline(dates))
+        .where(day)
+        .select("holiday_name", "official", "day", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias("offset"))
+        .select("holiday_name", "official", "offset", F.date_add("day", "offset").alias("date"))
+        .groupBy("date")
+        .agg(
+            F.bool_or(official & here).alias("is_official_holiday_date"),
+            joined_names(F.when(official & here, F.col("holiday_name"))).alias("actual_holiday_name"),
+            F.bool_or(observed & here).alias("is_observed_day_off"),
+            joined_names(F.when(observed & here, F.col("holiday_name"))).alias("observed_holiday_name"),
+            F.bool_or(F.col("offset") == -1).alias("is_day_before_holiday"),
+            F.bool_or(F.col("offset") == 1).alias("is_day_after_holiday"),
         )
-
-    days = (
+    )
+    flags = ("is_official_holiday_date", "is_observed_day_off", "is_day_before_holiday", "is_day_after_holiday")
+    return (
         period_days(spark, settings.start_date, settings.end_date)
-        .join(per_date("holiday_date", "is_official_holiday_date", "actual_holiday_name"), "date", "left")
-        .join(per_date("observed_date", "is_observed_day_off", "observed_holiday_name"), "date", "left")
-        .fillna(False, ["is_official_holiday_date", "is_observed_day_off"])
+        .join(marks, "date", "left")
+        .fillna(False, list(flags))
         .withColumns(
             {
                 "is_holiday_or_day_off": F.col("is_official_holiday_date") | F.col("is_observed_day_off"),
                 "holiday_name": joined_pair(F.col("actual_holiday_name"), F.col("observed_holiday_name")),
             }
         )
-    )
-    along = W.orderBy("date")
-    return days.withColumns(
-        {
-            "is_day_before_holiday": F.lead("is_holiday_or_day_off", 1, False).over(along),
-            "is_day_after_holiday": F.lag("is_holiday_or_day_off", 1, False).over(along),
-        }
+        .select(
+            "date",
+            "is_official_holiday_date",
+            "actual_holiday_name",
+            "is_observed_day_off",
+            "observed_holiday_name",
+            "is_holiday_or_day_off",
+            "holiday_name",
+            "is_day_before_holiday",
+            "is_day_after_holiday",
+        )
     )
 
 

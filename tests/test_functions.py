@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meterlens.functions import cells as C
 from meterlens.functions.calendar import degree_days, hour_start, month_start, period_days, with_calendar
-from meterlens.functions.skew import join_null_safe, salted_lookup
+from meterlens.functions.skew import hot_keys, join_null_safe, salted_lookup, stored_bytes
 from meterlens.functions.stats import exact_quantiles, guarded_corr, safe_ratio
 from meterlens.settings import Settings
 
@@ -130,11 +130,47 @@ def test_null_keys_match_each_other(spark):
     expected = {(1, 10), (2, 20), (3, None)}
     assert {(r["v"], r["w"]) for r in join_null_safe(left, right, ["k"]).collect()} == expected
     assert {(r["v"], r["w"]) for r in salted_lookup(left, right, ["k"]).collect()} == expected
+    salted = salted_lookup(left, right, ["k"], rows_per_salt=1, small_input=0)
+    assert {(r["v"], r["w"]) for r in salted.collect()} == expected
+
+
+@pytest.fixture
+def two_hundred_tasks(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ("200", "-1", "false")):
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_a_hot_key_is_spread_evenly_and_others_are_not_copied(spark, two_hundred_tasks):
+    """One key holds 40 % of the rows, null another 20 %; the join's partitions stay close to even."""
+    key = F.when(F.col("id") % 5 < 2, "hot").when(F.col("id") % 5 == 2, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 997))
+    fact = spark.range(0, 100_000, 1, 8).select(key.alias("k"), "id")
+    lookup = fact.groupBy("k").agg(F.count("*").alias("n"))
+    joined = salted_lookup(fact, lookup, ["k"], "inner", rows_per_salt=100, small_input=0)
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) < 0.02 * sum(sizes) and len(sizes) > 190
+    counts = {r["k"]: (r["n"], r["rows"]) for r in joined.groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("rows")).collect()}
+    assert counts["hot"] == (40_000, 40_000) and counts[None] == (20_000, 20_000)
+    assert all(n == rows for n, rows in counts.values())
+    hot = {r["k"]: r["_salts"] for r in hot_keys(fact, ["k"], 100).collect()}
+    assert hot == {"hot": 200, None: 200}
+    assert hot_keys(fact, ["k"], 50_000).count() == 0
+
+
+def test_small_inputs_are_joined_as_they_are(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert 0 < stored_bytes(events.groupBy("user_id").count()) < 64 << 20
+    plan = salted_lookup(events, events.groupBy("user_id").count(), ["user_id"])._jdf.queryExecution().toString()
+    assert "_salt" not in plan
 
 
 def test_salted_lookup_keeps_identical_rows_of_a_hot_key(spark):
     fact = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.lit(1).alias("v"))
-    joined = salted_lookup(fact, fact.groupBy("k").agg(F.sum("v").alias("n")), ["k"], "inner")
+    joined = salted_lookup(fact, fact.groupBy("k").agg(F.sum("v").alias("n")), ["k"], "inner", rows_per_salt=3, small_input=0)
     assert joined.count() == 3000
     assert joined.where("k = 'hot'").agg(F.min("n"), F.max("n"), F.count("*")).first() == (1000, 1000, 1000)
 
