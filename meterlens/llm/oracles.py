@@ -104,25 +104,35 @@ SELECT file_id, n_records, CAST(n_bytes AS BIGINT) AS n_bytes, ra.root, rb.root
 FROM sizes LEFT JOIN ra USING (file_id) LEFT JOIN rb USING (file_id) LEFT JOIN bad USING (file_id)"""
 
 
-def url_verdicts(depth: int = 3) -> str:
+def url_verdicts(depth: int = 4) -> str:
+    """For tables in which no path has frequent segments beyond `depth`."""
     rules = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
     fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in rules) + " END"
+    spelled = "s"
+    for sign in "%*{|}":
+        spelled = f"replace({spelled}, '{sign}', '%{ord(sign):02X}')"
+    wide = lambda n, m: f"sqrt(p * (1 - p) * (1 / greatest({n}, 1) + 1 / greatest({m}, 1)))"
     steps = []
     for k in range(1, depth + 1):
         steps.append(f"""
 c{k} AS (SELECT host, prefix, seg[{k}] AS s, count(*) AS n, count(good) AS lab, coalesce(sum(good), 0) AS ok
   FROM r{k - 1} WHERE len(seg) >= {k} GROUP BY ALL),
-f{k} AS (SELECT *, ok / greatest(lab, 1) AS purity FROM c{k}
-  JOIN (SELECT host, prefix, sum(n) AS total FROM c{k} GROUP BY ALL) USING (host, prefix) WHERE n >= 8 AND n >= 0.05 * total),
-g{k} AS (SELECT *, lag(ok) OVER w AS ok0, lag(lab) OVER w AS lab0, lag(purity) OVER w AS purity0
-  FROM f{k} WINDOW w AS (PARTITION BY host, prefix ORDER BY purity, s)),
-h{k} AS (SELECT *, sum(CASE WHEN lab > 0 AND lab0 > 0 AND purity - purity0 > 2.0 * sqrt(
-    ((ok + ok0) / (lab + lab0)) * (1 - (ok + ok0) / (lab + lab0)) * (1 / lab + 1 / lab0)) THEN 1 ELSE 0 END)
+e{k} AS (SELECT *, sum(n) OVER v AS total, sum(lab) OVER v - lab AS lab1, sum(ok) OVER v - ok AS ok1,
+    sum(ok) OVER v / greatest(sum(lab) OVER v, 1) AS p FROM c{k} WINDOW v AS (PARTITION BY host, prefix)),
+go{k} AS (SELECT coalesce(max(total), 0) >= 8 AND (SELECT go FROM go{k - 1}) AS go FROM e{k}),
+f{k} AS (SELECT * EXCLUDE (p), ok / greatest(lab, 1) AS purity FROM e{k} WHERE (SELECT go FROM go{k}) AND n >= 8 AND (n >= 0.05 * total
+  OR lab > 0 AND lab1 > 0 AND abs(ok / greatest(lab, 1) - ok1 / greatest(lab1, 1)) > 2.0 * {wide("lab", "lab1")})),
+g{k} AS (SELECT *, (ok + ok0) / greatest(lab + lab0, 1) AS p FROM (
+  SELECT *, lag(ok) OVER w AS ok0, lag(lab) OVER w AS lab0, lag(purity) OVER w AS purity0
+  FROM f{k} WINDOW w AS (PARTITION BY host, prefix ORDER BY purity, s))),
+h{k} AS (SELECT *, sum(CASE WHEN lab > 0 AND lab0 > 0 AND purity - purity0 > 2.0 * {wide("lab", "lab0")} THEN 1 ELSE 0 END)
   OVER (PARTITION BY host, prefix ORDER BY purity, s) AS branch FROM g{k}),
-m{k} AS (SELECT host, prefix, s, CASE WHEN len(l) = 1 THEN s ELSE '{{' || array_to_string(l, '|') || '}}' END AS part
-  FROM (SELECT host, prefix, branch, list_sort(list(s)) AS l, unnest(list(s)) AS s FROM h{k} GROUP BY host, prefix, branch)),
-r{k} AS (SELECT r.* EXCLUDE (prefix), r.prefix || CASE WHEN len(seg) < {k} THEN '' ELSE '/' || coalesce(part, '*') END AS prefix
+m{k} AS (SELECT host, prefix, s, CASE WHEN len(l) = 1 THEN l[1] WHEN len(l) <= {urls.MOST_NAMED}
+    THEN '{{' || array_to_string(l, '|') || '}}' ELSE '{{' || l[1] || '|' || len(l) || '|' || md5(array_to_string(l, '|')) || '}}' END AS part
+  FROM (SELECT host, prefix, list_sort(list({spelled})) AS l, unnest(list(s)) AS s FROM h{k} GROUP BY host, prefix, branch)),
+r{k} AS (SELECT r.* EXCLUDE (prefix, level), level + CASE WHEN (SELECT go FROM go{k}) THEN 1 ELSE 0 END AS level,
+    r.prefix || CASE WHEN len(seg) < {k} OR NOT (SELECT go FROM go{k}) THEN '' ELSE '/' || coalesce(part, '*') END AS prefix
   FROM r{k - 1} r LEFT JOIN m{k} m ON m.host = r.host AND m.prefix = r.prefix AND m.s = seg[{k}])""")
     return f"""
 WITH l AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good
@@ -130,14 +140,20 @@ WITH l AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THE
 u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-r0 AS (SELECT u.*, good, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, '' AS prefix FROM u LEFT JOIN l USING (page_id)),
+r0 AS (SELECT u.*, good, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, '' AS prefix, 0 AS level
+  FROM u LEFT JOIN l USING (page_id)),
+go0 AS (SELECT true AS go),
 {",".join(steps)},
-t AS (SELECT *, host || prefix || CASE WHEN len(seg) > {depth} THEN '/**' ELSE '' END AS template FROM r{depth}),
+t AS (SELECT *, host || prefix || CASE WHEN len(seg) > level THEN '/**' ELSE '' END AS template FROM r{depth}),
 a AS (SELECT host, template, count(good) AS n, coalesce(sum(good), 0) AS good FROM t GROUP BY ALL),
 b AS (SELECT host, sum(n) AS n, sum(good) AS good FROM a GROUP BY ALL),
-o AS (SELECT coalesce(sum(good) / nullif(count(good), 0), 1.0) AS p FROM t),
-j AS (SELECT template, (a.good + 20.0 * ((b.good + 20.0 * p) / (b.n + 20.0))) / (a.n + 20.0) AS purity FROM a JOIN b USING (host), o)
+o AS (SELECT sum(n) AS n, sum(good) / sum(n) AS p, sum(good * good / n) AS squares, count(*) AS hosts, sum(n * n) AS sizes
+  FROM b WHERE n > 0),
+q AS (SELECT coalesce(p, 1.0) AS p, CASE WHEN n - sizes / n > 0 THEN (squares - p * p * n - (hosts - 1) * p * (1 - p)) / (n - sizes / n)
+  ELSE 0 END AS spread FROM o),
+w AS (SELECT p, CASE WHEN spread > 1e-9 THEN round(least(10.0, greatest(1.0, p * (1 - p) / spread - 1)), 6) ELSE 10.0 END AS m FROM q),
+j AS (SELECT host, template, (a.good + m * ((b.good + m * p) / (b.n + m))) / (a.n + m) AS purity FROM a JOIN b USING (host), w)
 SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule,
        coalesce({case(lambda r: r[0])}, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template,
        round(purity, 9) AS purity
-FROM t JOIN j USING (template)"""
+FROM t JOIN j USING (host, template)"""

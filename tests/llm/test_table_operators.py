@@ -162,14 +162,76 @@ def test_templates_and_purity(spark):
     assert got[1].verdict == "block"
     assert got[1000].template == "h.example/*"
     assert got[2000].template == "h.example/*/*/*/**"
+    # One host has labels, so nothing is known of how hosts differ: smoothing is at its most.
     good = 66  # 67 pages of the shop, one with a contradicting label
     overall = good / 200
-    host = (good + 20 * overall) / 220
-    assert abs(got[1].purity - (0 + 20 * host) / (133 + 20)) < 1e-8
-    assert abs(got[2001].purity - (0 + 20 * (0 + 20 * overall) / 20) / 20) < 1e-8
+    host = (good + 10 * overall) / 210
+    assert abs(got[1].purity - (0 + 10 * host) / (133 + 10)) < 1e-8
+    assert abs(got[2001].purity - overall) < 1e-8
     assert got[2001].verdict == "block"  # nothing known of it: the share of all labels decides
 
 
+def test_levels_go_on_while_nodes_are_large(spark):
+    pages = [(i, f"http://h.example/en/2024/05/{('ads', 'news')[i % 2]}/{i}") for i in range(60)]
+    labels = [(i, i % 2) for i in range(60)]
+    got = {r.page_id: r for r in verdicts(spark, pages, labels)}
+    assert got[0].template == "h.example/en/2024/05/ads/*" and got[0].verdict == "block"
+    assert got[1].template == "h.example/en/2024/05/news/*" and got[1].verdict == "allow"
+
+
+def test_a_small_section_is_judged_by_its_own_labels(spark):
+    """2 % of a host, all of its labels bad, in a node whose other sections are good; unlabelled sections are a wildcard."""
+    sections = ["spam"] * 20 + [f"s{i % 97}" for i in range(980)]
+    pages = [(i, f"http://big.example/{s}/{i}") for i, s in enumerate(sections)]
+    labels = [(i, int(s != "spam")) for i, s in enumerate(sections) if i < 6 or i % 3 == 0]
+    got = {r.page_id: r for r in verdicts(spark, pages, labels)}
+    assert got[10].template == "big.example/spam/*" and got[10].verdict == "block"
+    assert got[20].template == "big.example/*/*" and all(got[i].verdict == "allow" for i in range(20, 1000))
+
+
+def test_a_host_with_six_bad_labels_is_blocked(spark):
+    pages, labels = [], []
+    for h in range(20):
+        pages += [(100 * h + i, f"http://h{h}.example/p/{i}") for i in range(30)]
+        labels += [(100 * h + i, int(i % 4 > 0)) for i in range(12)]  # three of four are good
+    pages += [(9000 + i, f"http://bad.example/p/{i}") for i in range(30)]
+    labels += [(9000 + i, 0) for i in range(6)]
+    pages += [(9500 + i, f"http://new.example/p/{i}") for i in range(30)]
+    got = {r.page_id: r for r in verdicts(spark, pages, labels)}
+    assert all(got[9000 + i].verdict == "block" for i in range(30))
+    assert all(got[100 * h + i].verdict == "allow" for h in range(20) for i in range(30))
+    overall = 180 / 246
+    assert all(got[9500 + i].verdict == "allow" and abs(got[9500 + i].purity - overall) < 1e-8 for i in range(30))
+
+
+def test_smoothing_follows_the_spread_of_hosts(spark):
+    fit = lambda rows: urls.fitted_smoothing(spark.createDataFrame(rows, "n long, good long"), 10.0)
+    assert fit([(100, 75)] * 30) == (0.75, 10.0)
+    apart = fit([(100, 100)] * 15 + [(100, 0)] * 15)
+    assert apart == (0.5, 1.0)
+    share, between = fit([(100, 90)] * 15 + [(100, 50)] * 15)
+    assert share == 0.7 and 3 < between < 6
+    assert fit([(0, 0)]) == (1.0, 10.0)
+
+
+def test_spellings_do_not_clash(spark):
+    """Literal stars and braces, very long urls, and branches of many segments."""
+    stars = [(i, f"http://h.example/*/{i}") for i in range(40)] + [(100 + i, f"http://h.example/{i}x/y") for i in range(100)]
+    braces = [(300 + i, "http://g.example/{a|b}/x") for i in range(40)] + [(400 + i, f"http://g.example/{'ab'[i % 2]}/x") for i in range(40)]
+    long = [(600 + i, "http://l.example/" + "x" * 50_000 + f"/{i}/" + "y/" * 40) for i in range(9)]
+    many = [(1000 + 10 * k + i, f"http://m.example/k{k:02d}/{i}") for k in range(20) for i in range(10)]
+    labels = [(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(100)] + [(300 + i, 0) for i in range(40)]
+    labels += [(400 + i, 1) for i in range(40)]
+    got = {r.page_id: r for r in verdicts(spark, stars + braces + long + many, labels)}
+    assert got[0].template == "h.example/%2A/*" and got[0].verdict == "block"
+    assert got[100].template == "h.example/*/y" and got[100].verdict == "allow"
+    assert got[300].template == "g.example/%7Ba%7Cb%7D/x" and got[300].verdict == "block"
+    assert got[400].template == "g.example/{a|b}/x" and got[400].verdict == "allow"
+    assert got[600].template.startswith("l.example/" + "x" * 50_000 + "/*/y/y") and got[600].path.count("y/") == 40
+    names = [f"k{k:02d}" for k in range(20)]
+    assert got[1000].template == "m.example/{k00|20|" + hashlib.md5("|".join(names).encode()).hexdigest() + "}/{0|1|2|3|4|5|6|7|8|9}"
+
+
 def test_a_hot_host_is_whole(spark):
     pages = spark.range(3000).select(
         F.col("id").alias("page_id"), F.concat(F.lit("http://one.example/p/"), F.col("id").cast("string")).alias("url")
