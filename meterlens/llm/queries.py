@@ -44,7 +44,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return quality.quality_verdicts(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return quality.own_verdicts(docs, _table(spark, sf_dir, "labels"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def pairs(docs):
 
 
 def test_word_encoder_equals_the_library():
-    encoder = WordEncoder(tokenizer_path("byte_bpe_50k.json"), max_words=300)
+    encoder = WordEncoder(tokenizer_path("byte_bpe_50k.json"), max_parts=300)
     texts = [t for t in odd_texts() if t is not None] + ["①1 ½! a①!", "nb   z", "it's 'sabc", " lead", "trail "]
     for low in range(0, len(texts), 9):  # the small store is shrunk on the way
         ids, counts = encoder.encode(pa.array(texts[low : low + 9]))
@@ -308,7 +308,10 @@ def test_quality_figures_and_verdict(spark, docs, empty):
     # nothing labelled: base rules alone decide
     free = quality.fit(docs, labels.limit(0), n_buckets=64)
     assert all(r.kept == (not r.base_failed) for r in quality.quality_verdicts(docs, free).collect())
-    assert quality.fit(empty, labels, n_buckets=64).weights == [0] * 64
+    assert quality.fit(empty, labels, n_buckets=64).weights == [[0] * 64] * 2
+    once = quality.own_verdicts(docs, labels, n_buckets=64, keep=0.9)
+    assert sorted(map(str, once.collect())) == sorted(map(str, got))
+    assert quality.own_verdicts(empty, labels).count() == 0 and quality.own_verdicts(docs, labels.limit(0)).count() == len(got)
 
 
 def test_quality_weights_by_hand(spark):
@@ -319,8 +322,34 @@ def test_quality_weights_by_hand(spark):
     scores = {r.doc_id: r.score for r in quality.quality_verdicts(docs, model).collect()}
     assert scores[1] > 0 > scores[2] == scores[3]
     # All 119 n-grams of the good text lie in the target, those of all three in the corpus.
-    counts = collections.Counter(model.weights)
-    assert max(counts) == pytest.approx(1000 * np.log((61 / 1119) / (61 / 1357)), abs=60)
+    assert model.weights[0] == model.weights[1]  # one fold alone has trusted documents
+    counts = collections.Counter(model.weights[0])
+    assert max(counts) == pytest.approx(1000 * np.log((60 + 1000 * 61 / 1357) / 1119 / (61 / 1357)), abs=60)
+    assert min(counts) == pytest.approx(1000 * np.log(1000 / 1119), abs=1)
+
+
+def test_labelled_and_unlabelled_documents_are_rejected_alike(spark):
+    """300 labels: trusted documents that are labelled pass as often as those that aren't."""
+    rng = random.Random(2)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(15, 60)))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality.own_verdicts(docs, labels, keep=0.95).collect()}
+    known, others = np.mean([kept[i] for i in range(300)]), np.mean([kept[i] for i in range(300, 3000)])
+    assert known >= 0.95 and abs(known - others) < 0.03
+
+
+def test_each_label_is_thinned_by_its_own_number(spark):
+    rows = [(i, int(i % 10 > 0), 0) for i in range(20_000)]
+    found = quality.trusted_labels(spark.createDataFrame(rows, "doc_id long, quality int, toxic int"), most=3000)
+    sizes = {r["good"]: r["count"] for r in found.groupBy("good").count().collect()}
+    assert sizes[False] == 2000 and 2700 < sizes[True] < 3300
+
+
+def test_buckets_follow_the_corpus():
+    sizes = [quality.bucket_number(n) for n in (0, 1000, 50_000, 250_000, 10**9)]
+    assert sizes == [1 << 13, 1 << 13, 1 << 14, 1 << 16, 1 << 18]
 
 
 def test_quality_rejects_held_out_poor_and_toxic_documents(spark):
