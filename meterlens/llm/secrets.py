@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlens.llm.common import id_field, text_slices, texts_of
+from meterlens.llm.common import cut, id_field, text_slices, texts_of
 
 # The kinds, in the order that ties take, and their patterns.
 KINDS = ("assign", "access", "hex", "cnn")
@@ -270,7 +270,7 @@ def labelled_findings(docs: DataFrame, text_col: str, about_docs: int, most_find
             tiles, labels = [r[0] for r in rows], [r[1] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.string()), pa.array(labels, pa.int32())], ["tile", "label"])
 
-    found = sample.mapInArrow(find, "tile string, label int")
+    found = cut(sample.mapInArrow(find, "tile string, label int"))
     out = []
     for label in (0, 1):
         one = found.where(F.col("label") == label).distinct().orderBy(F.xxhash64("tile"), "tile").limit(most_findings)
