@@ -14,9 +14,9 @@ from meterlens.llm.common import cut, fresh
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     verdict = fresh(docs, "verdict")
-    return model.judged(docs, "text", verdict).where(f"{verdict}.kept").drop(verdict)
+    judged = quality.fit_and_judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), verdict)
+    return judged.where(f"{verdict}.kept").drop(verdict)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
