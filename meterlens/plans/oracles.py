@@ -26,7 +26,7 @@ def _with(needs: tuple[str, ...], final: str) -> str:
     for need in needs:
         visit(need)
     blocks = ",\n".join(f"{name} AS (\n{_CTES[name][1]}\n)" for name in order)
-    return f"WITH {blocks}\n{final}" if blocks else final
+    return f"WITH RECURSIVE {blocks}\n{final}" if blocks else final
 
 
 def _columns(spec: str) -> str:
@@ -608,6 +608,46 @@ def _scaled(scaler: str) -> str:
 
 
 _cte("minmax", ("labelled",), f"SELECT company_id, region, {_scaled('minmax')} FROM labelled")
+# Principal components by power iteration: the covariance matrix as a list of rows, then twice the fixed direction of
+# repeated multiplication, the second time with the first component taken out.
+_SIDE = range(len(CLUSTER_FEATURES))
+_CENTRED = ", ".join(f"{f} - avg({f}) OVER ()" for f in CLUSTER_FEATURES)
+_COVARIANCES = ", ".join(
+    "[" + ", ".join(f"covar_samp({f}, {g})" for g in CLUSTER_FEATURES) + "]" for f in CLUSTER_FEATURES
+)
+_POWER_STEPS = 1500
+
+
+def _power(matrix: str) -> str:
+    start = ", ".join(f"CAST({1 + i / 7} AS DOUBLE)" for i in _SIDE)
+    return f"""
+SELECT 0 AS n, [{start}] AS v
+UNION ALL
+SELECT n + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (
+  SELECT n, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM {matrix}_power, {matrix}
+  WHERE n < {_POWER_STEPS})"""
+
+
+def _component(matrix: str) -> str:
+    return f"""
+SELECT CASE WHEN list_max(v) >= -list_min(v) THEN v ELSE list_transform(v, lambda x: -x) END AS v,
+       list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS size
+FROM {matrix}_power, {matrix} WHERE n = {_POWER_STEPS}"""
+
+
+_cte("centred", ("minmax",), f"SELECT company_id, [{_CENTRED}] AS x FROM minmax")
+_cte("spread", ("minmax",), f"SELECT [{_COVARIANCES}] AS m FROM minmax")
+_cte("spread_power", ("spread",), _power("spread"))
+_cte("axis_1", ("spread_power",), _component("spread"))
+_cte(
+    "rest",
+    ("axis_1",),
+    """
+SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1),
+         lambda j: m[i][j] - size * v[i] * v[j])) AS m FROM spread, axis_1""",
+)
+_cte("rest_power", ("rest",), _power("rest"))
+_cte("axis_2", ("rest_power",), _component("rest"))
 _cte(
     "silhouettes",
     ("minmax",),
@@ -1354,6 +1394,70 @@ FROM (
         + ", ".join(f"avg({f}) AS {f}" for f in CLUSTER_FEATURES)
         + " FROM labelled) o)",
     )
+    o["pca_2d"] = _with(
+        ("centred", "axis_1", "axis_2"),
+        "SELECT company_id, ROUND(list_dot_product(x, a.v), 6) AS pca_1, ROUND(list_dot_product(x, b.v), 6) AS pca_2 "
+        "FROM centred, axis_1 a, axis_2 b",
+    )
+    # What any right grouping fulfils, whichever starts it came from.
+    o["kmeans_nearest"] = _with(("eligible",), "SELECT company_id, true AS is_nearest FROM eligible")
+    for name, checks in (
+        (
+            "kmeans_centers",
+            (
+                "center_is_members_mean",
+                "company_count_is_members",
+                "names_follow_numbers",
+                "numbers_in_stable_order",
+                "inertia_is_distance_to_centers",
+                "one_k_is_selected",
+            ),
+        ),
+        (
+            "kmeans_choice",
+            (
+                "selected_k_is_first_maximum",
+                "silhouette_is_that_of_the_groups",
+                "one_elbow",
+                "cost_falls_with_k",
+                "summary_has_the_selected_k",
+                "summary_counts_add_up",
+            ),
+        ),
+    ):
+        o[name] = "\nUNION ALL ".join(f"SELECT '{c}' AS \"check\", CAST(0 AS BIGINT) AS violations" for c in checks)
+    o["scaler_grid"] = _with(
+        ("eligible",),
+        "SELECT scaler, CAST(k AS BIGINT) AS k, true AS sizes_fit, true AS score_in_range "
+        "FROM (SELECT unnest(['standard', 'minmax', 'robust']) AS scaler), "
+        f"(SELECT unnest(generate_series({fx.YEARLY.k_min}, least({fx.YEARLY.k_max}, (SELECT count(*) - 1 FROM eligible)))) AS k)",
+    )
+    steps = ("quality", "long_table", "profiles", "outliers", "weather_and_holidays", "company_groups", "audits")
+    o["run_steps"] = "\nUNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS step, '{name}' AS name, 'success' AS status" for i, name in enumerate(steps, 1)
+    )
+    tables = """
+source_manifest sheet_rows series sheet_cells meter_quality sheet_checks timeline_issues value_anomalies zero_runs
+hourly_long long_validation company_hourly meter_profile_metrics company_profile_metrics meter_monthly_profiles
+company_monthly_profiles meter_hourly_profiles company_hourly_profiles company_meter_heterogeneity meter_hourly_outliers
+company_hourly_outliers company_metric_outliers meter_outlier_summary company_outlier_summary weather_daily weather_hourly
+holiday_calendar hourly_enriched meter_daily company_daily meter_weather_sensitivity company_weather_sensitivity
+company_holiday_effect_detail company_holiday_effect_summary company_hourly_outliers_enriched company_clusters
+cluster_centers cluster_evaluation cluster_scaler_sensitivity cluster_excluded_companies cluster_feature_stats audits
+""".split()
+    listed = ", ".join(f"'{t}'" for t in tables if t != "source_manifest")
+    o["publish_run"] = _with(
+        ("eligible",),
+        f"SELECT 'success' AS status, unnest([{listed}]) AS \"table\", (SELECT count(*) FROM eligible) AS companies",
+    )
+    o["raw_sheets"] = o["wide_to_long"]
+    o["holiday_file"] = o["holiday_calendar"]
+    o["stored_long"] = o["active_span_flag"]
+    o["stored_summary"] = o["long_summary"]
+    o["stored_partitions"] = (
+        "SELECT source_sheet, count(*) AS rows, ROUND(sum(energy_kwh), 6) AS energy_kwh, CAST(1 AS BIGINT) AS folders, "
+        f"true AS has_files FROM ({o['active_span_flag']}) GROUP BY ALL"
+    )
     o["silhouette_by_region"] = _with(
         ("silhouettes",), "SELECT CAST(5 AS BIGINT) AS k, ROUND(avg(s), 6) AS silhouette_score FROM silhouettes"
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +12,7 @@ from meterlens.functions.calendar import with_calendar
 from meterlens.functions.cells import trailing_number
 from meterlens.operators import (
     audits,
+    certificates,
     clusters,
     dashboard,
     external,
@@ -25,10 +25,21 @@ from meterlens.operators import (
 )
 from meterlens.plans import fixtures as fx
 from meterlens.plans.analysis import Inputs, run_all
+from meterlens.schemas import HOLIDAY_EVENTS
 from meterlens.settings import CLUSTER_FEATURES, PEER_METRICS
-from meterlens.sinks.store import current_table, new_folder, run_history, step_history
+from meterlens.sinks.store import RunStore, current_table, new_folder, run_history, step_history
 from meterlens.sources import weather as weather_source
-from meterlens.sources.sheets import melt_rows, melt_sheets, parse_headers, placed_rows, row_times, time_rows
+from meterlens.sources.holidays import read_holiday_events
+from meterlens.sources.sheets import (
+    melt_rows,
+    melt_sheets,
+    parse_headers,
+    placed_rows,
+    read_raw_sheets,
+    row_times,
+    time_rows,
+    write_raw_sheets,
+)
 from meterlens.sources.tables import source_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +83,13 @@ def _cells(spark, d):
 
 
 def _kept(df):
-    """A table that several passes read: kept on the executors' disks once the first pass has made it."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    """A table that several passes read: written to the shared folder and read back, as a run does with its tables.
+
+    Later passes read the columns that they need, hold nothing on the executors, and don't reach behind it when one is lost.
+    """
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _typed_cells(spark, d):
@@ -700,6 +716,44 @@ def kmeans_groups(spark, d):
     )
 
 
+def _grouping(spark, d):
+    """One fit of the company groups with the scaling of its features."""
+    metrics = _kept_metrics(spark, d)
+    groups = clusters.company_clusters(spark, metrics, fx.YEARLY)
+    eligible = clusters.eligible_companies(metrics, CLUSTER_FEATURES)
+    return groups, clusters.fit_scaling(eligible, CLUSTER_FEATURES, fx.YEARLY.scaler)
+
+
+@query
+def kmeans_nearest(spark, d):
+    """Whether every company's group is the one whose center is nearest."""
+    groups, scaling = _grouping(spark, d)
+    return certificates.nearest_centers(groups, CLUSTER_FEATURES, scaling)
+
+
+@query
+def kmeans_centers(spark, d):
+    """Violations of what the centers of any grouping fulfil."""
+    groups, scaling = _grouping(spark, d)
+    return certificates.center_checks(groups, CLUSTER_FEATURES, scaling)
+
+
+@query
+def kmeans_choice(spark, d):
+    """Violations of what the choice of the number of groups fulfils, with the silhouette of the groups worked out anew."""
+    groups, scaling = _grouping(spark, d)
+    sizes = {r["cluster_number"]: r["company_count"] for r in groups.centers.collect()}
+    return certificates.choice_checks(groups, CLUSTER_FEATURES, scaling, sizes)
+
+
+@query
+def scaler_grid(spark, d):
+    """What sizes and scores of every scaler and k fulfil."""
+    metrics = clusters.eligible_companies(_kept_metrics(spark, d), CLUSTER_FEATURES)
+    n = metrics.count()
+    return certificates.grid_checks(clusters.scaler_sensitivity(spark, metrics, clusters.k_values(n, fx.YEARLY), fx.YEARLY), n)
+
+
 @query
 def silhouette_grid(spark, d):
     metrics = clusters.eligible_companies(_kept_metrics(spark, d), CLUSTER_FEATURES)
@@ -742,6 +796,69 @@ def run_steps(spark, d):
     return step_history(spark, _published(spark, d)).select("step", "name", "status")
 
 
+@query
+def stored_long(spark, d):
+    """The long table as a run stores it, partitioned by sheet and sorted, read back."""
+    store = RunStore(spark, new_folder(spark))
+    return store.write(
+        _long(spark, d),
+        "hourly_long",
+        partition_by=["source_sheet"],
+        sort_by=["company_id", "meter_id", "energy_flow", "interval_start"],
+    )
+
+
+@query
+def stored_partitions(spark, d):
+    """Rows and energy of every stored partition, from the files that its folder holds."""
+    files = stored_long(spark, d)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "source_sheet=([^/]+)/", 1)
+    return (
+        files.select("source_sheet", "energy_kwh", folder.alias("folder"), F.col("_metadata.file_path").alias("file"))
+        .groupBy("source_sheet")
+        .agg(
+            F.count("*").alias("rows"),
+            F.sum("energy_kwh").alias("energy_kwh"),
+            F.countDistinct("folder").alias("folders"),
+            (F.countDistinct("file") >= 1).alias("has_files"),
+        )
+    )
+
+
+@query
+def stored_summary(spark, d):
+    """A metric table written as a report sheet and read back."""
+    store = RunStore(spark, new_folder(spark))
+    store.write_report(summaries.long_summary(ingest.long_validation(_long(spark, d))), "long_table_summary")
+    stored = spark.read.schema("metric string, value string").option("header", True).csv(store.report_path("long_table_summary"))
+    return _numeric(stored)
+
+
+@query
+def raw_sheets(spark, d):
+    """The wide sheets written as raw files with two header rows, read by the file reader, as long cells."""
+    wide, header, folder = fx.wide_sheets(spark, d), fx.series_header(spark, d), f"{new_folder(spark)}/sheets"
+    write_raw_sheets(wide, header, folder)
+    data, found = read_raw_sheets(spark, folder, 3)
+    cells = quality.typed_cells(melt_sheets(data, found, "prosumer"))
+    return cells.select(*quality.SERIES, "row_position", "date", "hour", "tariff", "raw_value", "value", "kind")
+
+
+@query
+def holiday_file(spark, d):
+    """Holidays written as a CSV of events, read by the file reader, as the calendar of the period."""
+    folder = f"{new_folder(spark)}/holidays"
+    events = fx.order_holidays(spark, d)
+    columns = {
+        "holiday_id": F.concat_ws("_", "holiday_date", "holiday_name"),
+        "source_year": F.year("holiday_date"),
+        "date_may_change": F.lit(False),
+    }
+    named = events.withColumns(columns).select(*HOLIDAY_EVENTS.fieldNames())
+    named.write.option("header", True).csv(folder)
+    return external.holiday_calendar(spark, read_holiday_events(spark, folder), fx.YEARLY)
+
+
 @query
 def source_files(spark, d):
     """Fingerprints of the benchmark tables themselves."""

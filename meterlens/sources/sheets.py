@@ -22,45 +22,90 @@ def read_sheet_csv(spark: SparkSession, path: str, sheet: str, series_columns: S
     return spark.read.schema(schema).csv(path).withColumn("sheet", F.lit(sheet))
 
 
-def read_raw_sheet(spark: SparkSession, path: str, sheet: str) -> tuple[DataFrame, DataFrame]:
-    """One sheet exported whole as a single CSV file: (data rows, header rows as a table).
+def _file_positions(raw: DataFrame) -> DataFrame:
+    """Rows of files with `row_position`, their place in their file.
 
-    The first line names the company and the second the meter of each column from the seventh
-    on. ``row_position`` is the row's place in the file: rows are numbered inside their file
-    block and offset by the rows of earlier blocks, so a large file is still read in parallel.
+    Rows are numbered inside their file block and offset by the rows of earlier blocks, so a large file is still read in
+    parallel. A block holds at most what one task reads.
     """
-    raw = spark.read.csv(path)
-    names = raw.columns
     placed = raw.select(
-        "*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
     )
-    in_block = W.partitionBy("_block").orderBy("_id")
-    blocks = W.orderBy("_block")  # one row per file block
+    in_block = W.partitionBy("_file", "_block").orderBy("_id")
+    blocks = W.partitionBy("_file").orderBy("_block")  # one row per file block
     offsets = (
-        placed.groupBy("_block")
+        placed.groupBy("_file", "_block")
         .agg(F.count("*").alias("_rows"))
-        .select("_block", (F.sum("_rows").over(blocks) - F.col("_rows")).alias("_before"))
+        .select("_file", "_block", (F.sum("_rows").over(blocks) - F.col("_rows")).alias("_before"))
     )
-    numbered = (
+    return (
         placed.withColumn("_in_block", F.row_number().over(in_block))
-        .join(offsets, "_block")
+        .join(offsets, ["_file", "_block"])
         .withColumn("row_position", F.col("_before") + F.col("_in_block") - 1)
-        .drop("_block", "_id", "_before", "_in_block")
+        .drop("_file", "_block", "_id", "_before", "_in_block")
     )
+
+
+def _data_and_header(numbered: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Data rows and the two header rows (as a table) of numbered rows with a `sheet`."""
     lead = len(SHEET_TIME_COLUMNS)
-    renamed = dict(zip(names[:lead], SHEET_TIME_COLUMNS))
     data = (
         numbered.where(F.col("row_position") >= 2)
         .withColumn("row_position", F.col("row_position") - 2)
-        .withColumnsRenamed(renamed)
-        .withColumn("sheet", F.lit(sheet))
+        .withColumnsRenamed(dict(zip(names[:lead], SHEET_TIME_COLUMNS)))
     )
-    two = numbered.where(F.col("row_position") < 2).unpivot(["row_position"], names[lead:], "column", "text")
-    header = two.groupBy("column").agg(
+    two = numbered.where(F.col("row_position") < 2).unpivot(["sheet", "row_position"], names[lead:], "column", "text")
+    header = two.groupBy("sheet", "column").agg(
         F.max(F.when(F.col("row_position") == 0, F.col("text"))).alias("company_id"),
         F.max(F.when(F.col("row_position") == 1, F.col("text"))).alias("raw_header"),
     )
-    return data, header.select(F.lit(sheet).alias("sheet"), "column", "company_id", "raw_header")
+    return data, header
+
+
+def read_raw_sheet(spark: SparkSession, path: str, sheet: str) -> tuple[DataFrame, DataFrame]:
+    """One sheet exported whole as a single CSV file: (data rows, header rows as a table).
+
+    The first line names the company and the second the meter of each column from the seventh
+    on. ``row_position`` is the row's place in the file.
+    """
+    raw = spark.read.csv(path)
+    return _data_and_header(_file_positions(raw).withColumn("sheet", F.lit(sheet)), raw.columns)
+
+
+def read_raw_sheets(spark: SparkSession, folder: str, series: int) -> tuple[DataFrame, DataFrame]:
+    """All sheets below ``folder``, each a CSV file as of :func:`read_raw_sheet` in ``sheet=<name>``, in one pass.
+
+    ``series`` is the largest number of series columns of a sheet. Columns without a meter in the header belong to no
+    series.
+    """
+    names = [*SHEET_TIME_COLUMNS, *[f"s{i}" for i in range(1, series + 1)]]
+    schema = T.StructType([T.StructField(name, T.StringType(), True) for name in [*names, "sheet"]])
+    raw = spark.read.schema(schema).csv(folder)
+    data, header = _data_and_header(_file_positions(raw), names)
+    return data, header.where("raw_header IS NOT NULL")
+
+
+def write_raw_sheets(wide: DataFrame, header: DataFrame, folder: str, order: Sequence[str] = ("Date", "Hour")) -> None:
+    """Sheets as raw files that :func:`read_raw_sheets` reads: two header rows, then the rows by ``order``.
+
+    A sheet is one file, so one task writes it.
+    """
+    series = [c for c in wide.columns if c not in {"sheet", *SHEET_TIME_COLUMNS}]
+    names = [*SHEET_TIME_COLUMNS, *series]
+    rows = wide.select("sheet", F.lit(2).alias("_line"), *[F.col(c).alias(f"_{c}") for c in order], *[F.col(c).cast("string") for c in names])
+    lines = []
+    for line, cell in ((0, "company_id"), (1, "raw_header")):
+        cells_of = [F.max(F.when(F.col("column") == c, F.col(cell))).alias(c) for c in series]
+        one = header.groupBy("sheet").agg(*cells_of).withColumn("_line", F.lit(line))
+        lines.append(one)
+    whole = rows.unionByName(lines[0].unionByName(lines[1]), allowMissingColumns=True)
+    placed = whole.repartition("sheet").sortWithinPartitions("sheet", "_line", *[f"_{c}" for c in order])
+    writer = placed.select("sheet", *names).write.partitionBy("sheet").option("emptyValue", "")
+    # A cell's white space is part of it.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
 
 
 def read_series_header(spark: SparkSession, path: str) -> DataFrame:
