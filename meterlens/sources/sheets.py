@@ -152,29 +152,36 @@ def time_rows(wide: DataFrame) -> DataFrame:
     )
 
 
+#: Parts that rows without a readable date are dealt to, for each sheet.
+_UNDATED_PARTS = 4096
+
+
 def with_row_position(rows: DataFrame) -> DataFrame:
     """Zero-based position of each row inside its sheet.
 
     A given ``row_position`` column (the row number in the source) is kept. Otherwise rows are
     numbered by date and hour, repeated keys by their content, in two levels: hours inside a day
     and days inside a sheet. The ordered windows see the rows of a day or the days of a sheet.
+    Rows without a readable date come last; they have no day that bounds them, so they are dealt
+    to parts by a hash of their content first, which are ordered like days.
     """
     if "row_position" in rows.columns:
         return rows
-    in_day = W.partitionBy("sheet", "date").orderBy(
-        F.col("hour").asc_nulls_last(), "hour_text", F.xxhash64(*rows.columns)
-    )
-    days = W.partitionBy("sheet").orderBy(F.col("date").asc_nulls_last())
+    content = F.xxhash64(*rows.columns)
+    part = F.when(F.col("date").isNull(), F.pmod(content, F.lit(_UNDATED_PARTS)).cast("int")).otherwise(0)
+    parted = rows.withColumn("_part", part)
+    in_day = W.partitionBy("sheet", "date", "_part").orderBy(F.col("hour").asc_nulls_last(), "hour_text", content)
+    days = W.partitionBy("sheet").orderBy(F.col("date").asc_nulls_last(), "_part")
     offsets = (
-        rows.groupBy("sheet", "date")
+        parted.groupBy("sheet", "date", "_part")
         .agg(F.count("*").alias("_in_day"))
-        .select("sheet", "date", (F.sum("_in_day").over(days) - F.col("_in_day")).alias("_before"))
+        .select("sheet", "date", "_part", (F.sum("_in_day").over(days) - F.col("_in_day")).alias("_before"))
     )
-    numbered = rows.withColumn("_in_order", F.row_number().over(in_day) - 1)
+    numbered = parted.withColumn("_in_order", F.row_number().over(in_day) - 1)
     return (
-        join_null_safe(numbered, offsets, ["sheet", "date"], "inner")
+        join_null_safe(numbered, offsets, ["sheet", "date", "_part"], "inner")
         .withColumn("row_position", F.col("_before") + F.col("_in_order"))
-        .drop("_before", "_in_order")
+        .drop("_before", "_in_order", "_part")
     )
 
 

@@ -328,3 +328,26 @@ def test_repeated_time_keys_are_rows_of_their_own(spark):
     header = spark.createDataFrame([("S", "s1", "Company 1", "M1")], "sheet string, column string, company_id string, raw_header string")
     row = by_meter(quality.series_quality(melt_sheets(wide, header, "prosumer"), TWO_DAYS))["M1"]
     assert (row["maximum_zero_run_hours"], row["zero_run_events_48h_plus"], row["active_span_hours"]) == (4, 1, 5)
+
+
+def test_rows_without_a_date_are_numbered_in_parts(spark):
+    """They come behind the dated rows, each with a position of its own, and no window holds them all."""
+    date = F.when(F.col("id") < 48, F.date_add(F.lit(DAY), (F.col("id") / 24).cast("int")))
+    wide = spark.range(20_000).select(
+        F.lit("S").alias("sheet"),
+        F.lit(2026).alias("PeriodYear"),
+        F.lit(1).alias("PeriodMonth"),
+        F.lit("3").alias("WeekDay"),
+        F.coalesce(date.cast("string"), F.concat(F.lit("day "), "id")).alias("Date"),
+        (F.col("id") % 24 + 1).alias("Hour"),
+        F.lit("A1").alias("Tariff"),
+        F.col("id").alias("s1"),
+    )
+    placed = with_row_position(time_rows(wide))
+    found = {r["s1"]: r["row_position"] for r in placed.select("s1", "row_position").collect()}
+    assert sorted(found.values()) == list(range(20_000))
+    assert [found[i] for i in range(48)] == list(range(48))
+    again = with_row_position(time_rows(wide.repartition(7))).select("s1", "row_position").collect()
+    assert {r["s1"]: r["row_position"] for r in again} == found
+    windows = placed._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(sheet" in windows and "_part" in windows.split("windowspecdefinition(")[1].split(")")[0]
