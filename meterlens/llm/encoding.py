@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain, repeat
 
@@ -39,9 +40,10 @@ class WordEncoder:
     the store holds `max_parts`, those that came in one batch only are dropped.
     """
 
-    def __init__(self, path: str, max_parts: int = 250_000):
+    def __init__(self, path: str, max_parts: int = 400_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         self.tokenizer = Tokenizer.from_file(path)
         self.max_parts = max_parts
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]

@@ -28,7 +28,7 @@ def packed_blocks(
     sequence_length: int = 2048,
     end_id: int = 50256,
     pad_id: int = 50256,
-    rows_per_block: int = 64,
+    rows_per_block: int = 16,
     buffer_ids: int = 2_000_000,
 ) -> DataFrame:
     """Blocks of up to `rows_per_block` packed sequences, lossless and ready to be mapped into memory.
@@ -62,6 +62,7 @@ def packed_blocks(
                 return
             key = pa.concat_arrays(keys)
             start, length, ids = (np.concatenate(x) for x in zip(*parts))
+            keys, parts, held = [], [], 0  # what was gathered goes before the matrices come
             window, offset = best_fit_decreasing(length, sequence_length)
             order = np.lexsort((offset, window))
             begin = np.cumsum(length) - length
@@ -94,14 +95,13 @@ def packed_blocks(
                         pa.array([cu.astype("<i4").tobytes()], pa.binary()),
                         pa.array([positions.astype("<i4").tobytes()], pa.binary()),
                         pa.ListArray.from_arrays(pa.array([0, len(where)], pa.int32()), segments.take(pa.array(where))),
-                        pa.array([starts.tolist()], pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(pa.array([0, len(where)], pa.int32()), pa.array(starts)),
                     ],
                     [c.split()[0] for c in BLOCK.split(", ")],
                 )
                 made += 1
-            keys, parts, held = [], [], 0
 
-        for batch in text_slices(batches, text_col):
+        for batch in text_slices(batches, text_col, 2 << 20):
             ids, counts = with_end(*encoder.encode(batch.column(text_col)), end_id)
             doc, start, length = cut_windows(counts, sequence_length)
             keys.append(batch.column(id_col).take(pa.array(doc)))
