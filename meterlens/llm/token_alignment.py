@@ -66,33 +66,52 @@ def meeting_ends(a: np.ndarray, b: np.ndarray, edges: np.ndarray) -> tuple[np.nd
     return np.sort(np.concatenate(links_a)), np.sort(np.concatenate(links_b))
 
 
+def _flat(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all entries in a row, where each begins, and its size."""
+    sizes = np.array([len(x) for x in entries], np.int64)
+    return np.frombuffer(b"".join(entries), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def list_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that the lists of a slice have `limit` members at most, or the slice is a single row."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(column)), 0), np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 class Aligner:
     """Both tokenizers, loaded once a worker."""
 
     def __init__(self, first: str, second: str, lane_bytes: int):
         import sentencepiece
 
-        self.encoder = WordEncoder(first)
+        self.encoder = WordEncoder(first, max_parts=200_000)
         self.encoder.tokenizer.encode_special_tokens = True
         self.model = sentencepiece.SentencePieceProcessor(model_file=second)
-        self.bytes_a, self.bytes_b = byte_level_bytes(self.encoder.tokenizer), piece_bytes(self.model)
-        self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.base = len(self.bytes_b)
-        top = max(len(self.bytes_a), len(self.bytes_b))
+        self.table_a, self.table_b = _flat(byte_level_bytes(self.encoder.tokenizer)), _flat(piece_bytes(self.model))
+        self.sizes_a, self.sizes_b = self.table_a[2], self.table_b[2]
+        self.base = len(self.sizes_b)
+        top = max(len(self.sizes_a), self.base)
         self.signs = [f"{i}{sign}" for i in range(top) for sign in (",", "|", ";", "")]
         self.lane_bytes = lane_bytes
 
-    @staticmethod
-    def _spelled(ids: np.ndarray, counts: np.ndarray, table: list[bytes], want: list[bytes]) -> np.ndarray:
+    def _spelled(self, ids: np.ndarray, counts: np.ndarray, table: tuple, want: list[bytes]) -> np.ndarray:
         """Which texts are what their tokens spell."""
-        parts = list(map(table.__getitem__, ids.tolist()))
-        if b"".join(parts) == b"".join(want):
-            sizes = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
-            ends = sizes[np.cumsum(counts)]
-            if (np.diff(ends, prepend=0) == [len(w) for w in want]).all():
-                return np.ones(len(want), bool)
-        ends = np.cumsum(counts)
-        return np.array([b"".join(parts[e - n : e]) == w for e, n, w in zip(ends.tolist(), counts.tolist(), want)], bool)
+        flat, begin, sizes = table
+        lengths = np.fromiter(map(len, want), np.int64, len(want))
+        over = lambda x, n: np.diff(np.append(0, np.cumsum(x))[np.append(0, np.cumsum(n))])
+        good = over(sizes[ids], counts) == lengths
+        ids, counts = ids[np.repeat(good, counts)], counts[good]
+        text = np.frombuffer(b"".join([w for w, g in zip(want, good.tolist()) if g]), np.uint8)
+        size = sizes[ids]
+        at = np.arange(len(text)) + np.repeat(begin[ids] - np.cumsum(size) + size, size)
+        good[good] = over(flat[at] != text, lengths[good]) == 0
+        return good
 
     def align(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
         """Tokens of either side and groups of each text, the groups' spelling, and all links as a * base + b."""
@@ -105,7 +124,7 @@ class Aligner:
         found = self.model.encode(texts.to_pylist(), num_threads=1)
         counts_b = np.fromiter(map(len, found), np.int64, len(found))
         ids_b = np.fromiter(chain.from_iterable(found), np.int64, int(counts_b.sum()))
-        good = self._spelled(ids_a, counts_a, self.bytes_a, want) & self._spelled(ids_b, counts_b, self.bytes_b, want)
+        good = self._spelled(ids_a, counts_a, self.table_a, want) & self._spelled(ids_b, counts_b, self.table_b, want)
         if not good.all():
             ids_a, ids_b = ids_a[np.repeat(good, counts_a)], ids_b[np.repeat(good, counts_b)]
             counts_a, counts_b, held = counts_a[good], counts_b[good], held[good]
@@ -141,6 +160,14 @@ class Aligner:
         return n_a, n_b, n_groups, spelled, ids_a[cut_a] * self.base + ids_b[cut_b]
 
 
+def vocabulary_sizes(first: str, second: str) -> tuple[int, int]:
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(tokenizer_path(first)).get_vocab_size()
+    return a, SentencePieceProcessor(model_file=tokenizer_path(second)).get_piece_size()
+
+
 def aligned_tokens(
     docs: DataFrame,
     *,
@@ -154,28 +181,31 @@ def aligned_tokens(
 
     The first tokenizer (byte-level) encodes a space and the text, the second (sentencepiece, which adds that space) the
     text. `groups` spells the ids `a1,a2|b1;a3|b2,b3`; `links` are the pairs of tokens that end together, in order, as
-    a * (size of the second vocabulary) + b. Null and empty texts, and those that their tokens don't spell, have no
+    a * (size of the second vocabulary) + b (int where that is enough, else long). Null and empty texts, and those that their tokens don't spell, have no
     tokens. Null and repeated ids keep their rows; nothing is shuffled; other columns are not read.
     """
     state = worker_state(docs)
+    sizes = vocabulary_sizes(first, second)
+    small = sizes[0] * sizes[1] < 1 << 31
     out = T.StructType(
         [
             id_field(docs, id_col, "doc_id"),
             *(T.StructField(name, T.LongType(), False) for name in ("n_a", "n_b", "n_groups")),
             T.StructField("groups", T.StringType(), False),
-            T.StructField("links", T.ArrayType(T.LongType(), False), False),
+            T.StructField("links", T.ArrayType(T.IntegerType() if small else T.LongType(), False), False),
         ]
     )
+    number = np.int32 if small else np.int64
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = state.value
         if (first, second) not in kept:
             kept[first, second] = Aligner(tokenizer_path(first), tokenizer_path(second), lane_bytes)
-        for batch in text_slices(batches, "text", 2 << 20):
+        for batch in text_slices(batches, "text", 1 << 20):
             n_a, n_b, n_groups, spelled, links = kept[first, second].align(batch.column("text"))
             ends = pa.array(np.append(0, np.cumsum(n_groups)), pa.int32())
             columns = [*map(pa.array, (n_a, n_b, n_groups)), pa.array(spelled, pa.string())]
-            lists = pa.ListArray.from_arrays(ends, pa.array(links))
+            lists = pa.ListArray.from_arrays(ends, pa.array(links.astype(number)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, lists], out.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(align, out)
@@ -232,7 +262,7 @@ def with_link_figures(aligned: DataFrame, *, base: int, hot_links: int = 300_000
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_codes, known_counts, known_best = shared.value
-        for batch in batches:
+        for batch in list_slices(batches, "links"):
             lists = batch.column("links")
             codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.append(0, np.cumsum(np.asarray(pc.list_value_length(lists), np.int64)))
@@ -273,16 +303,10 @@ def alignment_figures(
 
     Texts are encoded once; what is stored for the counts is four to eight bytes a link before compression.
     """
-    from sentencepiece import SentencePieceProcessor
-    from tokenizers import Tokenizer
-
-    base = SentencePieceProcessor(model_file=tokenizer_path(second)).get_piece_size()
-    small = Tokenizer.from_file(tokenizer_path(first)).get_vocab_size() * base < 1 << 31
     found = aligned_tokens(docs, first=first, second=second, **options)
     digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
-    links = F.col("links").cast("array<int>") if small else F.col("links")
-    aligned = cut(found.select("doc_id", "n_a", "n_b", "n_groups", digest, links.alias("links")))
-    figures = with_link_figures(aligned, base=base, hot_links=hot_links)
+    aligned = cut(found.select("doc_id", "n_a", "n_b", "n_groups", digest, "links"))
+    figures = with_link_figures(aligned, base=vocabulary_sizes(first, second)[1], hot_links=hot_links)
     return figures.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )
