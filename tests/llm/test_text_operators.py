@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from meterlens.llm import decontamination, packing, quality, secrets, simhash, token_counts, token_files
 from meterlens.llm.encoding import WordEncoder, tokenizer_path
@@ -347,6 +348,34 @@ def test_each_label_is_thinned_by_its_own_number(spark):
     assert sizes[False] == 2000 and 2700 < sizes[True] < 3300
 
 
+def test_all_labels_count_and_are_not_forced_to_every_task(spark, monkeypatch):
+    """300 000 trusted documents, more than the 200 000 that were once sampled: all are in the labels and in the counts."""
+    rows = spark.range(300_000)
+    labels = rows.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    trusted = quality.trusted_labels(labels)
+    assert trusted.count() == 300_000
+    docs = rows.select(F.col("id").alias("doc_id"), F.lit("one").alias("text"))
+    weights = quality.bucket_weights(docs, trusted, id_col="doc_id", text_col="text", n_buckets=8, smoothing=1.0)
+    folds = [-8 + 8 / np.exp(min(w) / 1000) for w in weights]  # trusted documents, from the weight of an unused bucket
+    assert sum(folds) == pytest.approx(300_000, rel=0.01)
+    plans, frame = [], type(docs)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(df._jdf.queryExecution().toString()) or collect(df))
+    quality.bucket_weights(docs, trusted, id_col="doc_id", text_col="text", n_buckets=8, smoothing=1.0)
+    assert plans and "broadcast" not in plans[0].split("== Analyzed")[0].lower()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.001, 0.1, 1 - 0.999, 0.5, 0.75, 1.0])
+def test_quantile_in_slices_is_percentile_disc(spark, share):
+    rng = random.Random(9)
+    sets = [[1.5], [2.0, 2.0, 2.0], [1.0, 1.0 + 2**-52, 1e300, -1e-300], [rng.gauss(0, 1) for _ in range(1000)], [float(rng.randrange(5)) for _ in range(700)]]
+    for some in sets:
+        values = spark.createDataFrame([(x,) for x in some], "score double")
+        want = values.agg(F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY score)")).first()[0]
+        assert quality.lowest_with_share(values, share) == want
+    assert quality.lowest_with_share(spark.createDataFrame([], "score double"), share) is None
+
+
 def test_buckets_follow_the_corpus():
     sizes = [quality.bucket_number(n) for n in (0, 1000, 50_000, 250_000, 10**9)]
     assert sizes == [1 << 13, 1 << 13, 1 << 14, 1 << 16, 1 << 18]
