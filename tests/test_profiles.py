@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlens.operators import profiles, similarity
+from meterlens.plans import fixtures
 from meterlens.settings import Settings
 
 BASIC = "company_id string, energy_kwh double, is_peak_07_18 boolean, is_weekend boolean"
@@ -218,3 +219,28 @@ def test_every_tile_stays_within_the_block_size(spark):
     )
     hot = members.where("g = 'hot'").count()
     assert pairs == hot * (hot - 1) // 2
+
+
+def test_hourly_grid_is_filled_up_in_many_parts(spark, sf_dir, monkeypatch):
+    """Series take few bytes before their hours are filled up; Spark must not gather them in one task for that."""
+    monkeypatch.setattr(fixtures, "EVENT_BYTES", 4096)
+    hourly = fixtures.hourly_readings(spark, sf_dir)
+    sizes = [r["count"] for r in hourly.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 0.7 * sum(sizes)
+
+
+def test_hourly_readings_by_hand(spark, tmp_path):
+    """Repeated and null values, null users and hours outside the period."""
+    rows = [
+        (1, "view", "2024-01-01 00:10:00", 1.3), (1, "view", "2024-01-01 00:50:00", 2.0), (1, "view", "2024-01-01 01:00:00", None),
+        (33, "error", "2023-12-31 23:00:00", 4.0), (14, "view", "2024-02-02 05:30:00", -1.0), (14, "view", None, 5.0), (None, "view", "2024-01-02 00:00:00", 7.0),
+    ]
+    events = spark.createDataFrame(rows, "user_id long, event_type string, ts string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = fixtures.hourly_readings(spark, str(tmp_path))
+    sizes = {(r["n"], r["m"]): r["count"] for r in got.groupBy("n", "m").count().collect()}
+    assert sizes == {(1, 0): 720, (2, 0): 721, (1, 3): 722, (None, 3): 720}
+    filled = got.where("energy_kwh != 0").select("n", "m", F.col("date").cast("string").alias("d"), "hour_1_24", "energy_kwh")
+    assert {tuple(r) for r in filled.collect()} == {
+        (1, 0, "2024-01-01", 1, 3.25), (2, 0, "2023-12-31", 24, 4.0), (1, 3, "2024-02-02", 6, -1.0), (1, 3, None, None, 5.0), (None, 3, "2024-01-02", 1, 7.0),
+    }
