@@ -223,10 +223,12 @@ def test_every_tile_stays_within_the_block_size(spark):
 
 def test_hourly_grid_is_filled_up_in_many_parts(spark, sf_dir, monkeypatch):
     """Series take few bytes before their hours are filled up; Spark must not gather them in one task for that."""
-    monkeypatch.setattr(fixtures, "EVENT_BYTES", 4096)
-    hourly = fixtures.hourly_readings(spark, sf_dir)
-    sizes = [r["count"] for r in hourly.groupBy(F.spark_partition_id()).count().collect()]
-    assert len(sizes) >= 4 and max(sizes) < 0.7 * sum(sizes)
+    for size in (4096, 1 << 30):  # also with as many parts as there are shuffle partitions
+        monkeypatch.setattr(fixtures, "EVENT_BYTES", size)
+        hourly = fixtures.hourly_readings(spark, sf_dir)
+        assert hourly._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+        sizes = [r["count"] for r in hourly.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 2 and max(sizes) < 0.9 * sum(sizes)
 
 
 def test_hourly_readings_by_hand(spark, tmp_path):
