@@ -231,6 +231,20 @@ def test_hourly_grid_is_filled_up_in_many_parts(spark, sf_dir, monkeypatch):
         assert len(sizes) >= 2 and max(sizes) < 0.9 * sum(sizes)
 
 
+def test_hourly_grid_of_rare_events_is_filled_up_in_many_parts(spark, tmp_path, monkeypatch):
+    """A series of one event has all hours too, so parts follow the series and not the stored events alone."""
+    monkeypatch.setattr(fixtures, "GRID_ROWS", 1 << 12, raising=False)
+    monkeypatch.setattr(fixtures, "UNCOUNTED_BYTES", 0, raising=False)
+    users = F.expr("CASE WHEN id > 0 THEN id * 30 END").alias("user_id")
+    times = F.lit("2024-01-03 04:00:00").cast("timestamp_ntz").alias("ts")
+    events = spark.range(200).select(users, F.lit("view").alias("event_type"), times, F.lit(1.5).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = fixtures.hourly_readings(spark, str(tmp_path))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200 * 720 and len(sizes) >= 20 and max(sizes) < 25 * 720
+    assert got.where("energy_kwh > 0").count() == 200
+
+
 def test_hourly_readings_by_hand(spark, tmp_path):
     """Repeated and null values, null users and hours outside the period."""
     rows = [
